@@ -335,19 +335,76 @@ def cf_fallback_vectors(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
             .groupBy("session_id").agg(V.vector_mean("embedding").alias("vector")))
 
 
+def cf_signal_sessions(seeds: DataFrame, index: DataFrame, played: DataFrame,
+                       playlist: DataFrame | None = None,
+                       min_cooccurrence: int = CF_MIN_COOCCURRENCE) -> DataFrame:
+    """Sessions where some non-played candidate has a co-occurrence score > 0 (else R3 applies).
+
+    Exact without scoring every candidate: a seed with more strong partners (cooc >= min) than
+    the session has played songs certainly has an unplayed one; only seeds with few strong
+    partners are joined in detail, and the playlist delta (cooc = min - 1 plus one) is checked
+    on playlist pairs only.
+    """
+    sd = seeds.select("session_id", F.col("video_id").alias("seed")).distinct()
+    strong = index.where(F.col("cooc") >= min_cooccurrence)
+    m2 = strong.groupBy(F.col("other_id").alias("seed")).agg(F.count(F.lit(1)).alias("_m2"))
+    n_played = played.groupBy("session_id").agg(F.count(F.lit(1)).alias("_np"))
+    cand = (sd.join(m2, "seed").join(n_played, "session_id", "left")
+            .withColumn("_np", F.coalesce("_np", F.lit(0))))
+    certain = cand.where(F.col("_m2") > F.col("_np")).select("session_id")
+    detail = (cand.where(F.col("_m2") <= F.col("_np")).select("session_id", "seed")
+              .join(strong.select(F.col("other_id").alias("seed"), "video_id"), "seed")
+              .join(played.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
+              .select("session_id"))
+    out = certain.unionByName(detail)
+    if playlist is not None:
+        pl = playlist.select("session_id", "video_id").distinct()
+        near = index.where(F.col("cooc") == min_cooccurrence - 1)
+        delta = (pl.select("session_id", F.col("video_id").alias("seed"))
+                 .join(near.select(F.col("other_id").alias("seed"), "video_id"), "seed")
+                 .join(pl, ["session_id", "video_id"], "left_semi")
+                 .join(played.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
+                 .select("session_id"))
+        out = out.unionByName(delta)
+    return out.distinct()
+
+
 def cf_for_candidates(candidates: DataFrame, seeds: DataFrame, index: DataFrame, pop: DataFrame,
                       played: DataFrame, catalog: DataFrame, playlist: DataFrame | None = None,
                       min_cooccurrence: int = CF_MIN_COOCCURRENCE) -> DataFrame:
-    """R2 + R3 on given (session_id, video_id) candidates: co-occurrence score, or, for sessions
-    with seeds whose every candidate scores 0, the embedding fallback (cos(mean seed, c) + 1) / 2.
-    Sessions without seeds score 0 (CF returns nothing there)."""
-    co = cf_cooccurrence_scores(seeds, index, pop, played, playlist, min_cooccurrence)
-    has_co = co.select("session_id").distinct().withColumn("_co", F.lit(True))
-    has_seed = seeds.select("session_id").distinct().withColumn("_sd", F.lit(True))
-    fb = pair_cosine(candidates.select("session_id", "video_id"),
-                     cf_fallback_vectors(seeds, catalog), catalog, "_cos")
-    return (candidates.select("session_id", "video_id")
-            .join(co, ["session_id", "video_id"], "left")
+    """R2 + R3 for given (session_id, video_id) candidates (the hybrid's base set).
+
+    Co-occurrence: candidate x seed pairs of the session (linear in the seeds, the base set
+    is k rows) looked up in the sparse index, + playlist delta, max over seeds / popularity'.
+    Sessions with seeds but no signal on any candidate use (cos(mean seed, c) + 1) / 2;
+    sessions without seeds score 0 (CF returns nothing there).
+    """
+    cand = candidates.select("session_id", "video_id").distinct()
+    sd = seeds.select("session_id", F.col("video_id").alias("seed")).distinct()
+    pairs = (cand.join(sd, "session_id").where(F.col("video_id") != F.col("seed"))
+             .join(index.select("video_id", F.col("other_id").alias("seed"), "cooc"), ["video_id", "seed"], "left")
+             .withColumn("cooc", F.coalesce("cooc", F.lit(0))))
+    pop_s = pop.select("video_id", "popularity")
+    if playlist is not None:
+        pl = playlist.select("session_id", "video_id").distinct()
+        c_in = pl.select("session_id", "video_id", F.lit(1).alias("_c_in"))
+        g_in = pl.select("session_id", F.col("video_id").alias("seed"), F.lit(1).alias("_g_in"))
+        pairs = (pairs.join(c_in, ["session_id", "video_id"], "left").join(g_in, ["session_id", "seed"], "left")
+                 .withColumn("cooc", F.col("cooc") + F.when(
+                     F.col("_c_in").isNotNull() & F.col("_g_in").isNotNull(), 1).otherwise(0)))
+    best = (pairs.where(F.col("cooc") >= min_cooccurrence)
+            .groupBy("session_id", "video_id").agg(F.max("cooc").alias("raw"))
+            .join(pop_s, "video_id", "left"))
+    if playlist is not None:
+        best = (best.join(c_in, ["session_id", "video_id"], "left")
+                .withColumn("popularity", F.coalesce("popularity", F.lit(0)) + F.coalesce("_c_in", F.lit(0))))
+    co = best.select("session_id", "video_id",
+                     F.least(F.col("raw") / F.greatest(F.coalesce("popularity", F.lit(1)), F.lit(1)),
+                             F.lit(1.0)).alias("cf_score"))
+    has_co = cf_signal_sessions(seeds, index, played, playlist, min_cooccurrence).withColumn("_co", F.lit(True))
+    has_seed = sd.select("session_id").distinct().withColumn("_sd", F.lit(True))
+    fb = pair_cosine(cand, cf_fallback_vectors(seeds, catalog), catalog, "_cos")
+    return (cand.join(co, ["session_id", "video_id"], "left")
             .join(has_co, "session_id", "left").join(has_seed, "session_id", "left")
             .join(fb.select("session_id", "video_id", "_cos"), ["session_id", "video_id"], "left")
             .select("session_id", "video_id",

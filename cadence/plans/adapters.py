@@ -67,7 +67,7 @@ class Adapters:
     # -- sessions ------------------------------------------------------------------
     @staticmethod
     def _session(col: str):
-        return F.floor(F.col(col) / F.lit(SESSION_SIZE)).cast("long")
+        return F.expr(f"{col} div {SESSION_SIZE}")
 
     def members(self) -> DataFrame:
         return (self.t.orders
@@ -75,13 +75,13 @@ class Adapters:
                         F.col("o_custkey").cast("string").alias("user_id")).distinct())
 
     def plays(self) -> DataFrame:
-        w = Window.partitionBy("session_id").orderBy("l_orderkey", "l_linenumber")
+        w = Window.partitionBy("session_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
         return (self.t.lineitem
                 .select(self._session("l_orderkey").alias("session_id"), "l_orderkey", "l_linenumber",
-                        self.song("l_partkey").alias("video_id"),
+                        "l_partkey", "l_returnflag", self.song("l_partkey").alias("video_id"),
                         F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("liked_flag"))
                 .withColumn("play_order", F.row_number().over(w))
-                .drop("l_orderkey", "l_linenumber"))
+                .drop("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
 
     def played(self) -> DataFrame:
         return self.plays().select("session_id", "video_id").distinct()
@@ -129,7 +129,8 @@ SQL_ADAPTERS = {
     "plays": """
         SELECT l_orderkey // 4 AS session_id, l_partkey % (SELECT n FROM ncat) AS video_id,
                CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS liked_flag,
-               row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber) AS play_order
+               row_number() OVER (PARTITION BY l_orderkey // 4
+                                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS play_order
         FROM lineitem""",
     "played": "SELECT DISTINCT session_id, video_id FROM plays",
     "playlist": """

@@ -221,7 +221,7 @@ def a13_user_vectors(spark, sf_dir):
 
 
 @register("a14_group_vectors", with_ctes(_BASE, SQL_SESSION[:2] + SQL_VECTORS, f"""
-    SELECT session_id, {s4('sqrt(list_sum(list_transform(vector, x -> x * x)))')} AS vec_norm,
+    SELECT session_id, {s4('sqrt(list_sum(list_transform(vector, lambda x: x * x)))')} AS vec_norm,
            {s4('list_sum(vector)')} AS vec_sum, {s4('vector[1]')} AS vec_first FROM svec"""))
 def a14_group_vectors(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
