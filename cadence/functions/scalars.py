@@ -199,3 +199,19 @@ def js_or(*cols, default=None) -> Column:
     if default is not None:
         parts.append(F.lit(default))
     return F.coalesce(*parts)
+
+
+def round_to(x, digits: int = 4) -> Column:
+    """Round half away from zero on the binary value: round(x·10^d) / 10^d, the arithmetic the
+    SQL engines use (Spark's ``round`` rounds the shortest decimal text instead, so
+    3/20000 would give 0.0002 here but 0.0001 there). ``+ 0.0`` folds -0.0 into 0.0."""
+    x = col(x).cast("double")
+    s = float(10 ** digits)
+    q = x * F.lit(s)
+    r = F.when(q >= 0, F.floor(q + F.lit(0.5))).otherwise(-F.floor(-q + F.lit(0.5)))
+    return r.cast("double") / F.lit(s) + F.lit(0.0)
+
+
+def format_pct1(x) -> Column:
+    """'%.1f' as Python formats it (half-even on ties), for report messages."""
+    return F.format_string("%.1f", F.bround(col(x).cast("double"), 1))

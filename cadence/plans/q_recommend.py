@@ -13,8 +13,9 @@ from cadence.plans.registry import register
 
 
 def r4(c):
-    """Round to 4 dp; ``+ 0.0`` folds -0.0 into 0.0 so both engines print the same value."""
-    return F.round(c, 4) + F.lit(0.0)
+    """Round to 4 dp the way the SQL engines do (see ``scalars.round_to``)."""
+    from cadence.functions.scalars import round_to
+    return round_to(c, 4)
 
 
 def s4(x: str) -> str:
