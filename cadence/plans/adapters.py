@@ -168,4 +168,6 @@ def with_ctes(names: list[str], extra: list[tuple[str, str]], final: str) -> str
     for n in names:
         add(n)
     parts = [f"{n} AS ({SQL_ADAPTERS[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra]
+    if not parts:
+        return final
     return "WITH " + ",\n".join(parts) + "\n" + final
