@@ -103,8 +103,9 @@ def j2_metadata_lookup(spark, sf_dir):
         SELECT CAST(p_partkey AS VARCHAR) AS video_id, CAST(p_size * 100 AS BIGINT) AS view_count,
                CAST(p_size * 7 AS BIGINT) AS like_count, CAST(p_size AS BIGINT) AS comment_count
         FROM part WHERE p_size > 10""")], """
-    SELECT r.session_id, sum(coalesce(s.view_count, 0)) AS views, sum(coalesce(s.like_count, 0)) AS likes,
-           sum(coalesce(s.comment_count, 0)) AS comments, count(*) AS tracks
+    SELECT r.session_id, CAST(sum(coalesce(s.view_count, 0)) AS BIGINT) AS views,
+           CAST(sum(coalesce(s.like_count, 0)) AS BIGINT) AS likes,
+           CAST(sum(coalesce(s.comment_count, 0)) AS BIGINT) AS comments, count(*) AS tracks
     FROM raw_tracks r LEFT JOIN stats s ON s.video_id = r.video_id GROUP BY r.session_id"""))
 def j1_video_stats(spark, sf_dir):
     a = Adapters(spark, sf_dir)

@@ -1 +1,39 @@
-"""Queries (filled in below)."""
+"""Sequence queries: W5 play sequences, W6 prefix samples, F11 eligible sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadence.operators import sequences as Q
+from cadence.plans.adapters import Adapters, with_ctes
+from cadence.plans.registry import register
+
+
+@register("w5_play_sequences", with_ctes(["plays"], [], """
+    SELECT session_id, count(*) AS length, arg_min(video_id, play_order) AS first_video,
+           arg_max(video_id, play_order) AS last_video, CAST(sum(liked_flag) AS BIGINT) AS liked
+    FROM plays GROUP BY 1 HAVING count(*) >= 2"""))
+def w5_play_sequences(spark, sf_dir):
+    s = Q.play_sequences(Adapters(spark, sf_dir).plays())
+    return s.select("session_id", F.size("sequence").cast("long").alias("length"),
+                    F.element_at("sequence", 1)["video_id"].alias("first_video"),
+                    F.element_at("sequence", -1)["video_id"].alias("last_video"),
+                    F.aggregate("sequence", F.lit(0).cast("long"), lambda a, x: a + x["liked_flag"]).alias("liked"))
+
+
+@register("w6_prefix_samples", with_ctes(["plays"], [], """
+    SELECT p.session_id, count(*) AS samples, CAST(sum(least(p.play_order - 1, 15)) AS BIGINT) AS context_rows,
+           count(*) AS check_samples
+    FROM plays p WHERE p.play_order > 1 GROUP BY 1"""))
+def w6_prefix_samples(spark, sf_dir):
+    s = Q.prefix_samples(Adapters(spark, sf_dir).plays())
+    return (s.groupBy("session_id").agg(F.count(F.lit(1)).alias("samples"),
+                                        F.sum(F.size("context")).cast("long").alias("context_rows"))
+            .withColumn("check_samples", F.col("samples")))
+
+
+@register("f11_eligible_sequences", with_ctes(["plays"], [], """
+    SELECT session_id, count(*) AS events FROM plays GROUP BY 1 HAVING count(*) >= 5"""))
+def f11_eligible_sequences(spark, sf_dir):
+    e = Q.eligible_sequences(Adapters(spark, sf_dir).plays())
+    return e.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
