@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadence.llm import decontaminate, mixing, quality
-from cadence.llm.common import table
+from cadence.llm import decontaminate, langid, line_dedup, mixing, quality, token_counts, warc
+from cadence.llm.common import scratch_path, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,3 +112,43 @@ mixed AS (SELECT doc_id, run.size, c.source_size, c.target, run.source,
 
 
 ORACLE_SQL["op9_mix_sources"] = f"WITH {mix_sql('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs, learned)
+    return out.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "pred.lang_pred", "pred.score")
+
+
+@query
+def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.reassemble(warc.read_records(spark, path))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
+ORACLE_SQL["op5_warc_roundtrip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+     r AS (SELECT h, max(page_id) AS response_id FROM p GROUP BY 1),
+     d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (35 - 5 * i)) & 31 AS INT) + 1, 1), '' ORDER BY g, i) AS digest
+           FROM (SELECT h, g, CAST('0x' || substr(h, 1 + 10 * g, 10) AS BIGINT) AS v
+                 FROM (SELECT DISTINCT h FROM p), (SELECT unnest(range(4)) AS g)), (SELECT CAST(unnest(range(8)) AS INT) AS i) GROUP BY 1)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to, 'ok' AS status
+FROM p JOIN r USING (h) JOIN d USING (h)
+"""
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
