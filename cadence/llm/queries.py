@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadence.llm import decontaminate, langid, line_dedup, mixing, quality, token_counts, warc
+from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, warc
 from cadence.llm.common import scratch_path, table
 
 QUERIES = {}
@@ -16,6 +16,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
