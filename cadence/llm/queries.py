@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, quality, token_counts, warc
+from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, quality, repeats, token_counts, warc
 from cadence.llm.common import scratch_path, table
 
 QUERIES = {}
@@ -158,3 +158,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_units(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
