@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, quality, repeats, token_counts, warc
+from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, packing, quality, repeats, token_counts, warc
 from cadence.llm.common import scratch_path, table
 
 QUERIES = {}
@@ -166,3 +166,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
