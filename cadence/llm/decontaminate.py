@@ -113,7 +113,7 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> Da
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text",
               max_table_windows: int = MAX_TABLE_WINDOWS) -> DataFrame:
-    """``(row, tok, hits, n_words, n_hit, items)`` for every input row."""
+    """``(row, hits, n_words, n_hit, items)`` for every input row."""
     windows = materialise(benchmark_windows(benchmark, n), "benchmark-windows")
     n_windows = windows.count()
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())    # at most n values
@@ -133,8 +133,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str =
     spans = F.array_sort(F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"))))
     n_hit = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"])
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    return out.select("row", "tok", "hits", F.size("tok").cast("long").alias("n_words"),
-                      n_hit.cast("long").alias("n_hit"), items.alias("items"))
+    # a generated column: filters on it stay above this point, instead of repeating the search
+    found = F.struct(F.size("tok").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), items.alias("items"))
+    return out.select("row", "hits", F.explode(F.array(found)).alias("f")).select("row", "hits", "f.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = N,
