@@ -132,7 +132,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.reassemble(warc.read_records(spark, path))
+    read = warc.read_archives(spark, path)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
 
 

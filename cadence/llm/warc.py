@@ -36,9 +36,8 @@ RECORD_SCHEMA = ("record_id string, record_type string, page_id long, segment in
                  "total_length long, block binary, payload_digest string, payload_bytes long, refers_to long")
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: four groups of 40 bits, eight digits each."""
-    h = F.sha1(payload)
+def base32(h: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hex: four groups of 40 bits, eight digits each."""
     digits = [F.lpad(F.conv(F.substring(h, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
     return F.translate(F.concat(*digits), *_BASE32)
 
@@ -47,12 +46,12 @@ def with_roles(pages: DataFrame) -> DataFrame:
     """``(page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to)``."""
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
                         F.coalesce(pages["html"].cast("binary"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("payload_digest", sha1_base32(F.col("payload")))
-    first = base.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"))
+    base = base.withColumn("sha1", F.sha1("payload"))
+    first = base.groupBy("sha1").agg(F.max("page_id").alias("response_id"))
     b, f = base.alias("b"), first.alias("f")
-    rows = b.join(f, F.col("b.payload_digest") == F.col("f.payload_digest"))
+    rows = b.join(f, F.col("b.sha1") == F.col("f.sha1"))
     same = F.col("response_id").isNull() | F.col("page_id").eqNullSafe(F.col("response_id"))
-    return rows.select("page_id", "url", F.when(same, F.col("payload")).alias("payload"), "b.payload_digest",
+    return rows.select("page_id", "url", F.when(same, F.col("payload")).alias("payload"), base32(F.col("b.sha1")).alias("payload_digest"),
                        F.octet_length("payload").cast("long").alias("payload_bytes"),
                        F.when(same, F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
                        F.when(~same, F.col("response_id")).alias("refers_to"))
@@ -190,8 +189,9 @@ def _page(uri: str | None) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in ``path``, as stored (``RECORD_SCHEMA``)."""
+def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
+    """The records of the archives in ``path``, as stored (``RECORD_SCHEMA``): all of them, or only
+    those that are (or are not) segments of a longer one."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
@@ -205,6 +205,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
                 for f, block in parse_records(_inflate(memoryview(content.as_buffer()))):
                     number = f.get("warc-segment-number")
+                    if segmented is not None and segmented != bool(number or "warc-segment-origin-id" in f):
+                        continue
                     total, n_bytes = f.get("warc-segment-total-length"), f.get("payload-length")
                     rows.append((f["warc-record-id"], f["warc-type"], _page(f["warc-record-id"]), int(number) if number else None,
                                  f.get("warc-segment-origin-id"), int(total) if total else None, block,
@@ -247,39 +249,50 @@ def http_payload(message: bytes) -> bytes | None:
     return dechunk(body) if b"chunked" in fields.get(b"transfer-encoding", b"") else body
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit record: ``(record_id, record_type, page_id, payload,
-    payload_bytes, payload_digest, refers_to, status)``.
-
-    ``status`` is ``ok``, or ``incomplete`` (segment missing, or lengths that do not add up to
-    the total), ``bad framing``, ``bad digest``, or ``orphan`` (continuations without an origin).
-    Of segments with the same number one is taken. A group is one record's segments.
-    """
-    part = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "block")
-    g = records.groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
-        F.array_sort(F.collect_list(part)).alias("parts"), F.max("total_length").alias("total"),
-        F.max("segment").alias("segments"),
-        F.max(F.when(F.col("origin").isNull(), F.struct("record_type", "page_id", "payload_digest", "payload_bytes", "refers_to"))).alias("head"))
-    once = F.filter("parts", lambda x, i: (i == 0) | (x["segment"] != F.get(F.col("parts"), i - 1)["segment"]))
-    g = g.withColumn("parts", once)
-    length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
-    last = F.coalesce("segments", F.lit(1))
-    whole = (F.size("parts") == last) & (F.col("segments").isNull() | (F.coalesce("total", F.lit(-1)) == length))
+def _decode(records: DataFrame) -> DataFrame:
+    """Decode ``(record_id, record_type, page_id, payload_digest, payload_bytes, refers_to, parts,
+    whole)``, with ``parts`` the blocks in order, to the columns that ``reassemble`` returns."""
 
     @F.pandas_udf("binary")
     def payload(parts: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else http_payload(b"".join(p)) for p in parts], dtype=object)
 
-    is_response = F.col("head.record_type") == "response"
-    g = g.select("record_id", "head.*", whole.alias("whole"),
-                 payload(F.when(is_response & whole, F.transform("parts", lambda x: x["block"]))).alias("payload"))
     response = F.col("record_type") == "response"
-    digest = sha1_base32(F.col("payload"))
+    r = records.withColumn("payload", payload(F.when(response & F.col("whole"), F.col("parts"))))
+    r = r.withColumn("found", F.when(response, base32(F.sha1("payload"))).otherwise(F.col("payload_digest")))
     status = (F.when(F.col("record_type").isNull(), "orphan").when(~F.col("whole"), "incomplete")
                .when(response & F.col("payload").isNull(), "bad framing")
-               .when(response & (digest != F.col("payload_digest")), "bad digest")
-               .otherwise("ok"))
+               .when(response & (F.col("found") != F.col("payload_digest")), "bad digest").otherwise("ok"))
     n_bytes = F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return g.select("record_id", "record_type", "page_id", "payload", n_bytes.alias("payload_bytes"),
-                    F.when(response, digest).otherwise(F.col("payload_digest")).alias("payload_digest"),
-                    "refers_to", status.alias("status"))
+    return r.select("record_id", "record_type", "page_id", "payload", n_bytes.alias("payload_bytes"),
+                    F.col("found").alias("payload_digest"), "refers_to", status.alias("status"))
+
+
+_HEAD = ("record_type", "page_id", "payload_digest", "payload_bytes", "refers_to")
+
+
+def join_segments(records: DataFrame) -> DataFrame:
+    """One row per origin id: its blocks by segment number, and whether they are the whole record
+    (numbers without gaps, lengths that add up to the total). Of segments with the same number
+    one is taken. A group is one record's segments."""
+    part = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "block")
+    g = records.groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
+        F.array_sort(F.collect_list(part)).alias("all_parts"), F.max("total_length").alias("total"), F.max("segment").alias("segments"),
+        F.max(F.when(F.col("origin").isNull(), F.struct(*_HEAD))).alias("head"))
+    g = g.withColumn("once", F.filter("all_parts", lambda x, i: (i == 0) | (x["segment"] != F.get(F.col("all_parts"), i - 1)["segment"])))
+    length = F.aggregate("once", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
+    whole = (F.size("once") == F.coalesce("segments", F.lit(1))) & (F.coalesce("total", F.lit(-1).cast("long")) == length)
+    return g.select("record_id", "head.*", F.transform("once", lambda x: x["block"]).alias("parts"), whole.alias("whole"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """One row per response or revisit record of the archives: ``(record_id, record_type, page_id,
+    payload, payload_bytes, payload_digest, refers_to, status)``.
+
+    ``status`` is ``ok``, or ``incomplete`` (a segment is missing, or lengths do not add up),
+    ``bad framing``, ``bad digest``, or ``orphan`` (continuations without an origin). The archives
+    are read twice, so that only segments of longer records have to be moved.
+    """
+    single = read_records(spark, path, segmented=False)
+    single = single.select("record_id", *_HEAD, F.array("block").alias("parts"), F.lit(True).alias("whole"))
+    return _decode(single.unionByName(join_segments(read_records(spark, path, segmented=True))))
