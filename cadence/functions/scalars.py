@@ -37,23 +37,38 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col(c), rf"(?U)^[{_PY_SPACE}]+|[{_PY_SPACE}]+$", "")
 
 
+# What Python's float() and int() take (after stripping); Java's parser also takes "12d" or "1f".
+_DIGITS = r"\d(?:_?\d)*"
+PY_FLOAT = rf"^[+-]?(?:(?:{_DIGITS})(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+PY_FLOAT_WORD = r"(?i)^[+-]?(?:inf|infinity|nan)$"
+PY_INT = rf"^[+-]?{_DIGITS}$"
+MAX_LONG = float(2 ** 63)
+
+
+def py_float(c) -> Column:
+    """Python ``float(text)`` as double (infinities and NaN included); null where it raises."""
+    t = py_strip(col(c).cast("string"))
+    return F.when(t.rlike(PY_FLOAT) | t.rlike(PY_FLOAT_WORD), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 # P1 / D5 ---------------------------------------------------------------------------------
 def lenient_millis(c) -> Column:
-    """Null / '' -> 0; int(float(x)) truncating; unparsable or NaN -> 0. ±inf stays null
-    (the reference raises there), see ``millis_error``."""
+    """Null / '' -> 0; int(float(x)) truncating; unparsable or NaN -> 0. Values with no
+    64-bit integer are null, see ``millis_error``."""
     c = col(c)
-    d = c.try_cast("double")
-    return (F.when(c.isNull() | (c == ""), F.lit(0).cast("long"))
+    d = py_float(c)
+    return (F.when(c.isNull() | (c.cast("string") == ""), F.lit(0).cast("long"))
             .when(d.isNull() | F.isnan(d), F.lit(0).cast("long"))
-            .when(F.abs(d) == float("inf"), F.lit(None).cast("long"))
+            .when(F.abs(d) >= MAX_LONG, F.lit(None).cast("long"))
             .otherwise(d.try_cast("long")))
 
 
 def millis_error(c) -> Column:
-    """Error text for values whose float is infinite; null otherwise."""
-    d = col(c).try_cast("double")
-    return F.when(F.abs(d) == float("inf"),
-                  F.lit("OverflowError: cannot convert float infinity to integer"))
+    """Error text for values whose float is infinite, or has no 64-bit integer (Python keeps
+    those as big integers; a long column cannot, so the row is rejected); null otherwise."""
+    d = py_float(c)
+    return (F.when(F.abs(d) == float("inf"), F.lit("cannot convert float infinity to integer"))
+            .when(F.abs(d) >= MAX_LONG, F.lit("integer out of 64-bit range")))
 
 
 # P2
@@ -64,8 +79,11 @@ def seconds_from_millis(millis) -> Column:
 
 # P3
 def lenient_int(c) -> Column:
-    """Python ``int(x)`` on text: '3.7' -> 0, bad or null -> 0."""
-    return F.coalesce(F.trim(col(c)).try_cast("long"), F.lit(0).cast("long"))
+    """Python ``int(x)`` on text: '3.7' -> 0, '1_000' -> 1000, bad or null -> 0 (and 0 for
+    integers beyond 64 bits)."""
+    t = py_strip(col(c).cast("string"))
+    n = F.when(t.rlike(PY_INT), F.replace(t, F.lit("_"), F.lit("")).try_cast("long"))
+    return F.coalesce(n, F.lit(0).cast("long"))
 
 
 # P4
@@ -191,11 +209,15 @@ def bias_health(flags) -> Column:
 
 # P26 (JS falsy chains: '', 0 and null fall through)
 def js_or(*cols, default=None) -> Column:
-    """``a || b || … || default`` with JavaScript falsiness for strings and numbers."""
+    """``a || b || … || default`` with JavaScript falsiness by type: '' of strings (the text '0'
+    is true), 0 and NaN of numbers, false of booleans."""
     parts = []
     for c in cols:
         c = col(c)
-        parts.append(F.when(c.cast("string").isin("", "0", "0.0", "false"), F.lit(None)).otherwise(c))
+        text, number = c.cast("string"), c.cast("string").try_cast("double")
+        falsy = F.when(F.typeof(c) == "string", text == "").otherwise(
+            (text == "false") | F.coalesce((number == 0) | F.isnan(number), F.lit(False)))
+        parts.append(F.when(falsy, F.lit(None)).otherwise(c))
     if default is not None:
         parts.append(F.lit(default))
     return F.coalesce(*parts)

@@ -16,10 +16,7 @@ COLUMNS = [
     "trackTimeSeconds", "view_count", "like_count", "comment_count",
     "like_to_view_ratio", "comment_to_view_ratio",
 ]
-RAW_TEXT_COLUMNS = ["playlist_name", "track_title", "artist_name", "video_id", "genre", "country",
-                    "collection_name", "collection_id"]
-# Error texts as the reference's tagger raises them.
-ERR_INFINITE = "cannot convert float infinity to integer"
+# Error text as the reference's tagger raises it.
 ERR_NONE_STRIP = "'NoneType' object has no attribute 'strip'"
 
 
@@ -49,9 +46,10 @@ def anomaly_tags(df: DataFrame) -> DataFrame:
 
 def validate(raw: DataFrame) -> DataFrame:
     """derive, require the columns (always present in a typed frame), tag, and give each
-    row an ``error`` (null = valid). A null title / video id fails like the reference's tagger."""
-    d = anomaly_tags(derive_fields(raw))
-    err = (F.when(F.col("_millis_err").isNotNull(), F.lit(ERR_INFINITE))
+    row an ``error`` (null = valid). A null title / video id fails like the reference's tagger.
+    ``raw_record`` keeps the record as it came, for the rejected rows."""
+    d = anomaly_tags(derive_fields(raw.withColumn("raw_record", F.struct(*raw.columns))))
+    err = (F.when(F.col("_millis_err").isNotNull(), F.col("_millis_err"))
            .when(F.col("track_title").isNull() | F.col("video_id").isNull(), F.lit(ERR_NONE_STRIP)))
     return d.withColumn("error", err).drop("_millis_err")
 
@@ -61,10 +59,11 @@ def valid_tracks(validated: DataFrame, keep=("session_id",)) -> DataFrame:
     return validated.where(F.col("error").isNull()).select(*keep, *COLUMNS)
 
 
-def invalid_tracks(validated: DataFrame, raw_columns=RAW_TEXT_COLUMNS, keep=("session_id",)) -> DataFrame:
-    """S4 input: (error, record_json) of the rejected rows."""
+def invalid_tracks(validated: DataFrame, keep=("session_id",)) -> DataFrame:
+    """S4 input: (error, record_json) of the rejected rows; the whole record as it came, nulls
+    and unparsed fields included."""
     return (validated.where(F.col("error").isNotNull())
-            .select(*keep, "error", F.to_json(F.struct(*raw_columns)).alias("record_json")))
+            .select(*keep, "error", F.to_json("raw_record", {"ignoreNullFields": "false"}).alias("record_json")))
 
 
 # ---- J1: statistics lookup ----------------------------------------------------------
@@ -81,11 +80,11 @@ def join_video_stats(tracks: DataFrame, stats: DataFrame) -> DataFrame:
 # ---- J2: metadata lookup by cleaned title, with fallback -------------------------------
 
 def join_metadata(tracks: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Look up (genre, country, collection_name, collection_id) once per distinct
-    (title, artist): first by 'clean title + artist', then by clean title; missing -> genre
-    'Unknown', others ''. ``metadata``: (term, genre, country, collection_name, collection_id),
-    one row per search term."""
-    attrs = ["genre", "country", "collection_name", "collection_id"]
+    """Look up the attributes once per distinct (title, artist): first by 'clean title +
+    artist', then by clean title; missing -> genre 'Unknown', others ''. ``metadata``: (term,
+    genre, country, collection_name, collection_id, found_artist, found_millis), one row per
+    search term. Null titles and artists are looked up like any other (null-safe join back)."""
+    attrs = ["genre", "country", "collection_name", "collection_id", "found_artist", "found_millis"]
     keys = (tracks.select("track_title", "artist_name").distinct()
             .withColumn("_clean", S.clean_search_title("track_title"))
             .withColumn("_t1", S.py_strip(F.concat_ws(" ", F.col("_clean"), F.coalesce("artist_name", F.lit(""))))))
@@ -97,7 +96,9 @@ def join_metadata(tracks: DataFrame, metadata: DataFrame) -> DataFrame:
         *[F.coalesce(F.when(hit1, F.col(f"_a_{a}")).otherwise(F.col(f"_b_{a}")),
                      F.lit("Unknown" if a == "genre" else "")).alias(a) for a in attrs])
     base = tracks.drop(*[a for a in attrs if a in tracks.columns])
-    return base.join(resolved, ["track_title", "artist_name"], "left")
+    r = resolved.withColumnsRenamed({"track_title": "_rt", "artist_name": "_ra"})
+    on = F.col("track_title").eqNullSafe(F.col("_rt")) & F.col("artist_name").eqNullSafe(F.col("_ra"))
+    return base.join(r, on, "left").drop("_rt", "_ra")
 
 
 # ---- W4 + P6-P11: song preprocessing ---------------------------------------------------

@@ -22,8 +22,9 @@ GRU_ACTIVATION_THRESHOLD = 3
 GRU_WEIGHT_RAMP = {4: 0.20, 5: 0.25, 6: 0.30}
 SESSION_PLAYLIST_USER = "_session_playlist"
 
-# Users with more distinct likes than this are split into item chunks for the pair join.
-HOT_USER_ITEMS = 5000
+# Distinct likes of a user that meet in one join group, on average: every user's likes are dealt
+# into chunks of this size, so the pairs of a user with many likes spread over many groups.
+USER_CHUNK_ITEMS = 500
 
 
 # --------------------------------------------------------------------------------------
@@ -37,21 +38,18 @@ def popularity(likes: DataFrame, user: str = "user_id", item: str = "video_id")
 
 
 def cooccurrence_pairs(likes: DataFrame, user: str = "user_id", item: str = "video_id",
-                       min_count: int = 1, hot_user_items: int = HOT_USER_ITEMS) -> DataFrame:
+                       min_count: int = 1, chunk_items: int = USER_CHUNK_ITEMS) -> DataFrame:
     """A17 upper triangle: (item_a < item_b, cooc) = number of users liking both.
 
-    Exact and skew-safe: likes are de-duplicated, then each user's items are hashed into
-    ``ceil(k / hot_user_items)`` chunks; the self join runs on (user, chunk_left, chunk_right),
-    so a user with k likes is spread over ceil(k/T)^2 join groups of at most T x T pairs
-    instead of one k x k task. Ordinary users have one chunk and join exactly as a plain
-    self join. Counting is partially aggregated before the shuffle on the pair key.
+    Exact and skew-safe: likes are de-duplicated, then every user's items are hashed into
+    ``ceil(k / chunk_items)`` chunks; the self join runs on (user, chunk_left, chunk_right),
+    so a user with k likes is spread over ceil(k/T)^2 join groups of about T x T pairs
+    instead of one k x k task. Counting is partially aggregated before the shuffle on the pair key.
     """
     l = likes.select(F.col(user).alias("_u"), F.col(item).alias("_i")).distinct()
     degree = (l.groupBy("_u").agg(F.count(F.lit(1)).alias("_k"))
-              .where(F.col("_k") > hot_user_items)
-              .select("_u", F.ceil(F.col("_k") / F.lit(hot_user_items)).cast("int").alias("_nb")))
-    l = (l.join(degree, "_u", "left")
-         .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)))
+              .select("_u", F.ceil(F.col("_k") / F.lit(chunk_items)).cast("int").alias("_nb")))
+    l = (l.join(degree, "_u")
          .withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_nb")).cast("int"))
          .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
     a = l.select("_u", F.col("_b").alias("_x"), F.col("_p").alias("_y"), F.col("_i").alias("item_a"))
@@ -64,9 +62,9 @@ def cooccurrence_pairs(likes: DataFrame, user: str = "user_id", item: str = "vid
 
 
 def cooccurrence_index(likes: DataFrame, user: str = "user_id", item: str = "video_id",
-                       min_count: int = 1, hot_user_items: int = HOT_USER_ITEMS) -> DataFrame:
+                       min_count: int = 1, chunk_items: int = USER_CHUNK_ITEMS) -> DataFrame:
     """A17 symmetric: (video_id, other_id, cooc), both directions, no self pairs."""
-    p = cooccurrence_pairs(likes, user, item, min_count, hot_user_items)
+    p = cooccurrence_pairs(likes, user, item, min_count, chunk_items)
     return (p.select(F.col("item_a").alias("video_id"), F.col("item_b").alias("other_id"), "cooc")
             .unionByName(p.select(F.col("item_b").alias("video_id"),
                                   F.col("item_a").alias("other_id"), "cooc")))
@@ -111,16 +109,15 @@ def exclusions(liked: DataFrame, disliked: DataFrame, played: DataFrame) -> Data
 # Preference vectors
 # --------------------------------------------------------------------------------------
 
-def user_vectors(liked: DataFrame, disliked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per (session_id, user_id): unit(mean(liked) - 0.5·mean(disliked)), liked_count.
+def user_preferences(likes: DataFrame, dislikes: DataFrame, catalog: DataFrame, keys=("user_id",)) -> DataFrame:
+    """A13 per key: unit(mean(liked) - 0.5·mean(disliked)) and liked_count, over catalog songs.
 
-    Users whose likes are all outside the catalog get no vector (reference skips them).
-    """
+    Keys whose likes are all outside the catalog get no vector (reference skips them)."""
     emb = catalog.select("video_id", V.as_double_array("embedding").alias("embedding"))
-    keys = ["session_id", "user_id"]
-    pos = (liked.join(emb, "video_id").groupBy(keys)
+    keys = list(keys)
+    pos = (likes.select(*keys, "video_id").distinct().join(emb, "video_id").groupBy(keys)
            .agg(V.vector_mean("embedding").alias("pos"), F.count(F.lit(1)).alias("liked_count")))
-    neg = (disliked.join(emb, "video_id").groupBy(keys)
+    neg = (dislikes.select(*keys, "video_id").distinct().join(emb, "video_id").groupBy(keys)
            .agg(V.vector_mean("embedding").alias("neg")))
     net = F.when(F.col("neg").isNull(), F.col("pos")).otherwise(
         F.zip_with("pos", "neg", lambda p, n: p - F.lit(DISLIKE_WEIGHT) * n))
@@ -128,6 +125,22 @@ def user_vectors(liked: DataFrame, disliked: DataFrame, catalog: DataFrame) -> D
             .select(*keys, V.unit(net).alias("vector"), "liked_count"))
 
 
+def user_vectors(members: DataFrame, likes: DataFrame, dislikes: DataFrame, catalog: DataFrame,
+                 playlist: DataFrame | None = None) -> DataFrame:
+    """(session_id, user_id, vector, liked_count) of the active members.
+
+    A user's vector does not depend on the session, so it is made once per user and joined to the
+    sessions; only the session playlist's pseudo-user (D32) is made per session."""
+    m = members.select("session_id", "user_id").distinct()
+    users = m.select("user_id").distinct()
+    prefs = user_preferences(likes.join(users, "user_id", "left_semi"), dislikes.join(users, "user_id", "left_semi"), catalog)
+    out = m.join(prefs, "user_id").select("session_id", "user_id", "vector", "liked_count")
+    if playlist is not None:
+        own = playlist.select("session_id", F.lit(SESSION_PLAYLIST_USER).alias("user_id"), "video_id")
+        out = out.unionByName(user_preferences(own, own.where(F.lit(False)), catalog, ("session_id", "user_id")))
+    return out
+
+
 def group_vectors(user_vecs: DataFrame) -> DataFrame:
     """Per session, liked-count-weighted mean of user vectors, L2 unit."""
     return (user_vecs.groupBy("session_id")
@@ -169,69 +182,73 @@ def normalized_session_scores(track_scores: DataFrame) -> DataFrame:
 # Exact per-session top-k cosine over the catalog without a cross join
 # --------------------------------------------------------------------------------------
 
-def _block_topk_fn(k: int):
+TOPK_QUERY_ROWS, TOPK_ITEM_ROWS = 2_000, 20_000     # rows of one matrix product, on average
+
+
+def _block_topk_fn(k: int, ids: list[str], sub_rows: int = 256):
+    """Top rows of one (sessions, items) block by (score desc, id asc), each session cut at its
+    own length; scores of equal vectors are made equal (12 decimals) so ties fall to the id."""
     import numpy as np
     import pandas as pd
 
+    def unit(column):
+        m = np.stack(column.to_numpy()).astype(np.float64)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
     def run(q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"session_id": pd.Series([], dtype="int64"),
-                              "video_id": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
         if q.empty or items.empty:
-            return empty
-        qm = np.stack(q["vector"].to_numpy()).astype(np.float64)
-        im = np.stack(items["embedding"].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(qm, axis=1, keepdims=True)
-        inn = np.linalg.norm(im, axis=1, keepdims=True)
-        qm = np.divide(qm, qn, out=np.zeros_like(qm), where=qn > 0)
-        im = np.divide(im, inn, out=np.zeros_like(im), where=inn > 0)
-        sims = qm @ im.T
-        ids = items["video_id"].to_numpy()
-        take = np.minimum(k + q["k_extra"].to_numpy().astype(np.int64), len(ids))
-        kk = int(take.max())
-        if kk < len(ids):
-            part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-        else:
-            part = np.tile(np.arange(len(ids)), (len(qm), 1))
-        psims = np.take_along_axis(sims, part, axis=1)
-        order = np.argsort(-psims, axis=1, kind="stable")
-        part = np.take_along_axis(part, order, axis=1)
-        psims = np.take_along_axis(psims, order, axis=1)
-        keep = np.arange(part.shape[1])[None, :] < take[:, None]
-        rows = np.repeat(q["session_id"].to_numpy(), keep.sum(axis=1))
-        return pd.DataFrame({"session_id": rows.astype("int64"),
-                             "video_id": ids[part[keep]].astype("int64"),
-                             "score": psims[keep].astype("float64")})
+            return pd.DataFrame({ids[0]: [], ids[1]: [], "score": []})
+        items = items.sort_values("video_id", kind="stable")     # so that position order is id order
+        qm, im, names = unit(q["vector"]), unit(items["embedding"]), items["video_id"].to_numpy()
+        take = np.minimum(k + q["k_extra"].to_numpy().astype(np.int64), len(names))
+        who, what, score = [], [], []
+        for lo in range(0, len(qm), sub_rows):
+            sims = np.round(qm[lo:lo + sub_rows] @ im.T, 12)
+            for i, row in enumerate(sims, lo):
+                n = int(take[i])
+                if n < len(row):
+                    cut = np.partition(row, len(row) - n)[len(row) - n]
+                    best = np.flatnonzero(row > cut)
+                    best = np.concatenate([best, np.flatnonzero(row == cut)[:n - len(best)]])
+                else:
+                    best = np.arange(len(row))
+                who.append(np.full(len(best), i))
+                what.append(best)
+                score.append(row[best])
+        who = np.concatenate(who)
+        return pd.DataFrame({ids[0]: q["session_id"].to_numpy()[who], ids[1]: names[np.concatenate(what)], "score": np.concatenate(score)})
 
     return run
 
 
-def topk_cosine(queries: DataFrame, catalog: DataFrame, k: int,
-                query_blocks: int | None = None, item_chunk_rows: int = 20000,
-                catalog_rows: int | None = None) -> DataFrame:
-    """Per session, the ``k + k_extra`` catalog items with the highest cosine to ``vector``.
+def topk_cosine(queries: DataFrame, catalog: DataFrame, k: int, query_rows: int = TOPK_QUERY_ROWS,
+                item_rows: int = TOPK_ITEM_ROWS) -> DataFrame:
+    """Per session, the ``k + k_extra`` catalog items with the highest cosine to ``vector``, ties
+    by id; ids of any orderable type.
 
-    ``queries``: (session_id, vector, k_extra). Sessions are hashed into ``query_blocks``
-    blocks, the catalog into ``ceil(rows / item_chunk_rows)`` chunks; each (block, chunk)
-    group is one numpy matrix product that keeps only its top rows, so neither side is
-    broadcast whole, no cross join is planned and only O(k) rows per session leave a task.
-    Exact: the union of per-chunk top lists contains the global top list.
+    ``queries``: (session_id, vector, k_extra). Both sides are hashed into blocks whose number
+    follows their row counts (scalar subqueries, no job while planning), so a (block, chunk) group
+    holds about ``query_rows`` x ``item_rows`` whatever the data's size, and is worked through
+    some sessions at a time. Neither side is broadcast, no cross join is planned and only O(k)
+    rows per session leave a task. Exact: the union of per-chunk top lists contains the top list.
     """
-    spark = queries.sparkSession
-    if query_blocks is None:
-        query_blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if catalog_rows is None:
-        catalog_rows = catalog.count()
-    chunks = max(1, -(-catalog_rows // item_chunk_rows))
+    types = [queries.schema["session_id"].dataType.simpleString(), catalog.schema["video_id"].dataType.simpleString()]
+
+    def blocks(df: DataFrame, rows: int):
+        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(1)).cast("int")).scalar()
+
+    n_q, n_i = blocks(queries.select("session_id"), query_rows), blocks(catalog.select("video_id"), item_rows)
     q = (queries.select("session_id", V.as_double_array("vector").alias("vector"),
                         F.col("k_extra").cast("long").alias("k_extra"))
-         .withColumn("_blk", F.pmod(F.xxhash64("session_id"), F.lit(query_blocks)).cast("int"))
-         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+         .withColumn("_blk", F.pmod(F.xxhash64("session_id"), n_q).cast("int"))
+         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_i - 1))))
     items = (catalog.select("video_id", V.as_double_array("embedding").alias("embedding"))
-             .withColumn("_chunk", F.pmod(F.xxhash64("video_id"), F.lit(chunks)).cast("int"))
-             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
+             .withColumn("_chunk", F.pmod(F.xxhash64("video_id"), n_i).cast("int"))
+             .withColumn("_blk", F.explode(F.sequence(F.lit(0), n_q - 1))))
     return (q.groupBy("_blk", "_chunk").cogroup(items.groupBy("_blk", "_chunk"))
-            .applyInPandas(_block_topk_fn(k), "session_id long, video_id long, score double")
+            .applyInPandas(_block_topk_fn(k, ["session_id", "video_id"]),
+                           f"session_id {types[0]}, video_id {types[1]}, score double")
             # per-chunk lists are merged, then cut to each session's own length
             .withColumn("_r", F.row_number().over(
                 Window.partitionBy("session_id").orderBy(F.desc("score"), "video_id"))))
@@ -267,8 +284,9 @@ def cbf_scores(vectors: DataFrame, excluded: DataFrame, session_scores: DataFram
             .where(F.col("_r") <= F.col("_lim"))
             .select("session_id", "video_id", F.col("score").alias("cbf_score")))
     nudged = pair_cosine(session_scores.select("session_id", "video_id"), vectors, catalog, "cbf_score")
-    cand = (best.unionByName(nudged.select("session_id", "video_id", "cbf_score"))
-            .dropDuplicates(["session_id", "video_id"])
+    # a nudged item that is in the top list too keeps the pair's own score
+    cand = (best.join(nudged.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
+            .unionByName(nudged.select("session_id", "video_id", F.round("cbf_score", 12).alias("cbf_score")))
             .join(excluded.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
             .join(session_scores, ["session_id", "video_id"], "left")
             .withColumn("session_score", F.coalesce("session_score", F.lit(0.0)))
@@ -291,15 +309,20 @@ def top_n(df: DataFrame, score: str, k: int = TOP_N, key: str = "session_id") ->
 
 def cf_cooccurrence_scores(seeds: DataFrame, index: DataFrame, pop: DataFrame,
                            played: DataFrame, playlist: DataFrame | None = None,
-                           min_cooccurrence: int = CF_MIN_COOCCURRENCE) -> DataFrame:
+                           min_cooccurrence: int = CF_MIN_COOCCURRENCE,
+                           catalog: DataFrame | None = None) -> DataFrame:
     """R2: (session_id, video_id, cf_score) for candidates with a non-zero score.
 
     score(c) = min(max_{g in seeds, cooc'(c,g) >= min} cooc'(c,g) / max(pop'(c), 1), 1), where
     the primes add the session playlist as one more population user (U5) without rebuilding
     the index: +1 for pairs inside the playlist, +1 popularity for playlist songs. The work is
-    one join of the session seeds against the sparse index (frontier-sized). Candidates are the
-    catalog minus played songs; all others score 0 (no row).
+    one join of the session seeds against the sparse index (frontier-sized); without a playlist,
+    and of pairs that it cannot lift, only entries of at least the minimum are joined. Candidates
+    are the songs of ``catalog`` (where given) minus played songs; all others score 0 (no row).
     """
+    if catalog is not None:
+        index = in_catalog(index, catalog)
+    index = index.where(F.col("cooc") >= min_cooccurrence - (0 if playlist is None else 1))
     if playlist is not None and min_cooccurrence < 2:
         raise ValueError("the playlist delta needs min_cooccurrence >= 2 (pairs absent from the index stay below it)")
     s = seeds.select("session_id", F.col("video_id").alias("seed")).distinct()
@@ -337,14 +360,18 @@ def cf_fallback_vectors(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def cf_signal_sessions(seeds: DataFrame, index: DataFrame, played: DataFrame,
                        playlist: DataFrame | None = None,
-                       min_cooccurrence: int = CF_MIN_COOCCURRENCE) -> DataFrame:
-    """Sessions where some non-played candidate has a co-occurrence score > 0 (else R3 applies).
+                       min_cooccurrence: int = CF_MIN_COOCCURRENCE,
+                       catalog: DataFrame | None = None) -> DataFrame:
+    """Sessions where some non-played candidate (a song of ``catalog``, where given) has a
+    co-occurrence score > 0 (else R3 applies).
 
     Exact without scoring every candidate: a seed with more strong partners (cooc >= min) than
     the session has played songs certainly has an unplayed one; only seeds with few strong
     partners are joined in detail, and the playlist delta (cooc = min - 1 plus one) is checked
     on playlist pairs only.
     """
+    if catalog is not None:
+        index = in_catalog(index, catalog)
     sd = seeds.select("session_id", F.col("video_id").alias("seed")).distinct()
     strong = index.where(F.col("cooc") >= min_cooccurrence)
     m2 = strong.groupBy(F.col("other_id").alias("seed")).agg(F.count(F.lit(1)).alias("_m2"))
@@ -401,7 +428,7 @@ def cf_for_candidates(candidates: DataFrame, seeds: DataFrame, index: DataFrame,
     co = best.select("session_id", "video_id",
                      F.least(F.col("raw") / F.greatest(F.coalesce("popularity", F.lit(1)), F.lit(1)),
                              F.lit(1.0)).alias("cf_score"))
-    has_co = cf_signal_sessions(seeds, index, played, playlist, min_cooccurrence).withColumn("_co", F.lit(True))
+    has_co = cf_signal_sessions(seeds, index, played, playlist, min_cooccurrence, catalog).withColumn("_co", F.lit(True))
     has_seed = sd.select("session_id").distinct().withColumn("_sd", F.lit(True))
     fb = pair_cosine(cand, cf_fallback_vectors(seeds, catalog), catalog, "_cos")
     return (cand.join(co, ["session_id", "video_id"], "left")

@@ -10,6 +10,7 @@ from cadence.operators import recommend as R
 from cadence.operators import prefs as P
 from cadence.plans.adapters import Adapters, with_ctes
 from cadence.plans.registry import register
+from cadence.session import materialise
 
 
 def r4(c):
@@ -27,37 +28,46 @@ def s4(x: str) -> str:
 # ---------------------------------------------------------------------------------------
 
 class SessionInputs:
-    """All per-session inputs of a recommendation cycle, built once per query."""
+    """All per-session inputs of a recommendation cycle.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``write`` the ones that a cycle uses again and again are written once to the shared
+    checkpoint folder and scanned from there, instead of being planned anew at each use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, write: bool = False):
         a = Adapters(spark, sf_dir)
+        keep = materialise if write else (lambda df, name: df)
         self.a = a
-        self.catalog = a.catalog()
+        self.keep = keep
+        self.catalog = keep(a.catalog(), "catalog")
         self.members = a.members()
-        self.likes = a.likes()
-        self.playlist = a.playlist()
-        self.played = a.played()
-        self.liked = R.session_likes(self.members, self.likes, self.catalog, self.playlist)
-        self.disliked = R.session_dislikes(self.members, a.dislikes())
-        self.excluded = R.exclusions(self.liked, self.disliked, self.played)
-        self.session_scores = R.normalized_session_scores(
-            P.track_scores(P.with_feedback_weight(a.votes())))
+        self.likes = keep(a.likes(), "likes")
+        self.dislikes = a.dislikes()
+        self.playlist = keep(a.playlist(), "playlist")
+        self.plays = keep(a.plays(), "plays")
+        self.played = self.plays.select("session_id", "video_id").distinct()
+        self.liked = keep(R.session_likes(self.members, self.likes, self.catalog, self.playlist), "liked")
+        self.disliked = R.session_dislikes(self.members, self.dislikes)
+        self.excluded = keep(R.exclusions(self.liked, self.disliked, self.played), "excluded")
+        self.session_scores = keep(R.normalized_session_scores(
+            P.track_scores(P.with_feedback_weight(a.votes()))), "session-scores")
+
+    def user_vectors(self) -> DataFrame:
+        return R.user_vectors(self.members, self.likes, self.dislikes, self.catalog, self.playlist)
 
     def group_vectors(self) -> DataFrame:
-        uv = R.user_vectors(self.liked, self.disliked, self.catalog)
-        return R.with_fallback_vector(self.members, R.group_vectors(uv), self.catalog)
+        return self.keep(R.with_fallback_vector(self.members, R.group_vectors(self.user_vectors()), self.catalog), "group-vectors")
 
     def cbf(self, k: int = R.TOP_N) -> DataFrame:
-        return R.cbf_scores(self.group_vectors(), self.excluded, self.session_scores, self.catalog, k)
+        return self.keep(R.cbf_scores(self.group_vectors(), self.excluded, self.session_scores, self.catalog, k), "cbf")
 
     def index(self):
-        return R.cooccurrence_index(self.likes), R.popularity(self.likes)
+        return self.keep(R.cooccurrence_index(self.likes), "cooccurrence"), self.keep(R.popularity(self.likes), "popularity")
 
     def predicted(self) -> DataFrame:
         """R4 input: the default sequence model's predicted vector per active session."""
         from cadence.operators.sequences import recent_mean_model
         st = self.a.session_state()
-        return recent_mean_model(self.a.plays(), self.catalog, st)
+        return recent_mean_model(self.plays, self.catalog, st)
 
 
 SQL_SESSION = [
@@ -140,7 +150,7 @@ SQL_CF = [
     ("cf_hits", """
         SELECT s.session_id, i.video_id, s.seed,
                i.cooc + CASE WHEN pc.video_id IS NOT NULL AND pg.video_id IS NOT NULL THEN 1 ELSE 0 END AS cooc
-        FROM seeds s JOIN idx i ON i.other_id = s.seed
+        FROM seeds s JOIN idx i ON i.other_id = s.seed AND i.video_id IN (SELECT video_id FROM catalog)
         LEFT JOIN playlist pc ON pc.session_id = s.session_id AND pc.video_id = i.video_id
         LEFT JOIN playlist pg ON pg.session_id = s.session_id AND pg.video_id = s.seed"""),
     ("cf_best", """
@@ -187,7 +197,7 @@ def j6_cooccurrence_pairs_min2(spark, sf_dir):
 def _cf_query(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
     idx, pop = si.index()
-    cf = R.cf_cooccurrence_scores(si.liked, idx, pop, si.played, si.playlist)
+    cf = R.cf_cooccurrence_scores(si.liked, idx, pop, si.played, si.playlist, catalog=si.catalog)
     w = Window.partitionBy("session_id").orderBy(F.desc("cf_score"), "video_id")
     return cf.select("session_id", "video_id", r4(F.col("cf_score")).alias("cf_score"),
                      F.row_number().over(w).alias("rank"))
@@ -217,7 +227,7 @@ def _vec_summary(df: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     FROM uvec_d d JOIN liked_n n USING (session_id, user_id) GROUP BY d.session_id, d.user_id, n.liked_count"""))
 def a13_user_vectors(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
-    uv = R.user_vectors(si.liked, si.disliked, si.catalog)
+    uv = si.user_vectors()
     return _vec_summary(uv, ["session_id", "user_id"], ["liked_count"])
 
 
@@ -265,7 +275,7 @@ def w9_session_score_norm(spark, sf_dir):
     SELECT session_id, video_id, genre, rank, {s4('cbf_score')} AS cbf_score,
            {s4('session_score')} AS session_score, {s4('final_score')} AS final_score FROM cbf"""))
 def r1_cbf_topn(spark, sf_dir):
-    si = SessionInputs(spark, sf_dir)
+    si = SessionInputs(spark, sf_dir, write=True)
     cbf = si.cbf().join(si.catalog.select("video_id", "genre"), "video_id")
     return cbf.select("session_id", "video_id", "genre", F.col("rank").cast("long").alias("rank"),
                       r4(F.col("cbf_score")).alias("cbf_score"),
@@ -308,8 +318,8 @@ def r4_sequence_scores_topn(spark, sf_dir):
 
 
 def recommend_cycle(spark, sf_dir) -> DataFrame:
-    """One plan for all sessions: vectors -> CBF base set -> CF / sequence on it -> hybrid."""
-    si = SessionInputs(spark, sf_dir)
+    """R8 for all sessions: vectors -> CBF base set -> CF / sequence on it -> hybrid."""
+    si = SessionInputs(spark, sf_dir, write=True)
     cbf = si.cbf()
     idx, pop = si.index()
     cf = R.cf_for_candidates(cbf.select("session_id", "video_id"), si.liked, idx, pop,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,12 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured
-    path = fallback or os.environ.get("CADENCE_CHECKPOINT_DIR") or "/tmp/cadence-checkpoints"
+    path = fallback or os.environ.get("CADENCE_CHECKPOINT_DIR")
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "/tmp/cadence-checkpoints"
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
 
+def materialise(df, name: str):
+    """Write ``df`` once below the shared checkpoint folder and read it back: later uses scan only
+    the columns they need, nothing is planned or computed twice, and lost executors do no harm."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -31,8 +31,8 @@ def test_hot_user_split_is_exact(spark):
     rnd = random.Random(7)
     pop = {f"u{i}": [f"v{rnd.randrange(40)}" for _ in range(rnd.randrange(2, 30))] for i in range(30)}
     likes = likes_df(spark, pop)
-    plain = {(r.item_a, r.item_b): r.cooc for r in R.cooccurrence_pairs(likes, hot_user_items=10_000).collect()}
-    split = {(r.item_a, r.item_b): r.cooc for r in R.cooccurrence_pairs(likes, hot_user_items=3).collect()}
+    plain = {(r.item_a, r.item_b): r.cooc for r in R.cooccurrence_pairs(likes, chunk_items=10_000).collect()}
+    split = {(r.item_a, r.item_b): r.cooc for r in R.cooccurrence_pairs(likes, chunk_items=3).collect()}
     brute = {}
     for vs in pop.values():
         s = sorted(set(vs))
@@ -93,7 +93,7 @@ def test_topk_cosine_matches_brute_force(spark):
                                 "video_id long, embedding array<double>")
     q = spark.createDataFrame([(s, rng.normal(size=8).tolist(), s % 3) for s in range(7)],
                               "session_id long, vector array<double>, k_extra long")
-    got = R.topk_cosine(q, cat, 5, query_blocks=3, item_chunk_rows=17, catalog_rows=60)
+    got = R.topk_cosine(q, cat, 5, query_rows=3, item_rows=17)
     got = {(r.session_id, r.video_id) for r in got.where(F.col("_r") <= 5).collect()}
     E = np.array([r.embedding for r in cat.orderBy("video_id").collect()])
     E = E / np.linalg.norm(E, axis=1, keepdims=True)
