@@ -76,8 +76,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("epochs", epochs).withColumn(
         "rest", F.when(F.col("source_size") > 0, budget - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0)).cast("long"))
-    running = Window.partitionBy("source").orderBy("range")
-    upto = ranges.select("source", "range", (F.sum("size").over(running) - F.col("size")).alias("offset"), "size")
+    # prefix sums in two levels (256 blocks of 256 ranges), so no task sees a source's every range
+    blocked = ranges.withColumn("block", F.substring("range", 1, 2))
+    blocks = blocked.groupBy("source", "block").agg(F.sum("size").alias("size"))
+    by_block = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.select(F.col("source").alias("bs"), F.col("block").alias("bb"), (F.sum("size").over(by_block) - F.col("size")).alias("base"))
+    inside = Window.partitionBy("source", "block").orderBy("range")
+    inner = blocked.withColumn("inner", F.sum("size").over(inside) - F.col("size"))
+    upto = inner.join(blocks, F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb"))).select(
+        "source", "range", (F.col("base") + F.col("inner")).alias("offset"), "size")
     p, u = plan.alias("p"), upto.alias("u")
     # the key range of each source that holds the cut: the last that starts below it
     cut = (p.join(u, F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("u.offset") < F.col("p.rest")), "left")
