@@ -37,6 +37,19 @@ def f1_route_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+@register("s4_invalid_records", with_ctes(["raw_tracks", "derived"], [], """
+    SELECT d.session_id, d.error, r.track_title, r.video_id, r.trackTimeMillis AS millis_text, r.view_count AS views_text,
+           count(*) AS n
+    FROM derived d JOIN raw_tracks r USING (src_order, src_line, src_part, src_supp) WHERE d.error IS NOT NULL GROUP BY ALL"""))
+def s4_invalid_records(spark, sf_dir):
+    """What the rejected records hold, read back from their JSON."""
+    r = I.invalid_tracks(validated(spark, sf_dir))
+    x = F.from_json("record_json", "track_title string, video_id string, trackTimeMillis string, view_count string")
+    return (r.select("session_id", "error", x.alias("x")).groupBy(
+        "session_id", "error", "x.track_title", "x.video_id", F.col("x.trackTimeMillis").alias("millis_text"),
+        F.col("x.view_count").alias("views_text")).agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("f2_anomaly_tags", with_ctes(["derived"], [("valid", "SELECT * FROM derived WHERE error IS NULL"), ("tags", """
         SELECT session_id, 'zero_views' AS tag FROM valid WHERE view_count = 0
         UNION ALL SELECT session_id, 'negative_stats' FROM valid WHERE like_count < 0 OR comment_count < 0
@@ -53,15 +66,16 @@ def f2_anomaly_tags(spark, sf_dir):
 @register("p5_clean_search_title", with_ctes(["raw_tracks"], [], r"""
     SELECT DISTINCT track_title,
            trim(regexp_replace(track_title, '[\(\[\|].*?[\)\]\|]', '', 'g')) AS clean_title
-    FROM raw_tracks WHERE track_title IS NOT NULL"""))
+    FROM raw_tracks"""))
 def p5_clean_search_title(spark, sf_dir):
-    r = raw_tracks(Adapters(spark, sf_dir)).where(F.col("track_title").isNotNull())
+    r = raw_tracks(Adapters(spark, sf_dir))
     return r.select("track_title", S.clean_search_title("track_title").alias("clean_title")).distinct()
 
 
 SQL_METADATA = ("metadata", """
         SELECT term, min(p_type) AS genre, 'US' AS country, min(p_brand) AS collection_name,
-               CAST(min(p_partkey) AS VARCHAR) AS collection_id
+               CAST(min(p_partkey) AS VARCHAR) AS collection_id, max(p_brand) AS found_artist,
+               CAST(max(p_partkey) * 1000 AS VARCHAR) AS found_millis
         FROM (SELECT p_name || ' ' || p_brand AS term, p_type, p_brand, p_partkey FROM part WHERE p_size > 25
               UNION ALL SELECT p_name AS term, p_type, p_brand, p_partkey FROM part WHERE p_size <= 10)
         GROUP BY term""")
@@ -76,27 +90,32 @@ def metadata_table(a: Adapters):
                           .select(F.col("p_name").alias("term"), "p_type", "p_brand", "p_partkey")))
     return terms.groupBy("term").agg(F.min("p_type").alias("genre"), F.lit("US").alias("country"),
                                      F.min("p_brand").alias("collection_name"),
-                                     F.min("p_partkey").cast("string").alias("collection_id"))
+                                     F.min("p_partkey").cast("string").alias("collection_id"),
+                                     F.max("p_brand").alias("found_artist"),
+                                     (F.max("p_partkey") * 1000).cast("string").alias("found_millis"))
 
 
 @register("j2_metadata_lookup", with_ctes(["raw_tracks"], [SQL_METADATA, ("keys", r"""
-        SELECT DISTINCT track_title, artist_name,
-               trim(regexp_replace(track_title, '[\(\[\|].*?[\)\]\|]', '', 'g')) AS clean
-        FROM raw_tracks WHERE track_title IS NOT NULL""")], """
+        SELECT *, trim(regexp_replace(track_title, '[\(\[\|].*?[\)\]\|]', '', 'g')) AS clean
+        FROM (SELECT DISTINCT track_title, CASE WHEN src_part % 7 = 0 THEN NULL ELSE artist_name END AS artist_name
+              FROM raw_tracks)""")], """
     SELECT k.track_title, k.artist_name,
+           coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.found_artist ELSE m2.found_artist END, '') AS found_artist,
+           coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.found_millis ELSE m2.found_millis END, '') AS found_millis,
            coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.genre ELSE m2.genre END, 'Unknown') AS genre,
            coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.country ELSE m2.country END, '') AS country,
            coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.collection_name ELSE m2.collection_name END, '')
              AS collection_name,
            coalesce(CASE WHEN m1.genre IS NOT NULL THEN m1.collection_id ELSE m2.collection_id END, '')
              AS collection_id
-    FROM keys k LEFT JOIN metadata m1 ON m1.term = trim(k.clean || ' ' || coalesce(k.artist_name, ''))
+    FROM keys k LEFT JOIN metadata m1 ON m1.term = trim(concat_ws(' ', k.clean, coalesce(k.artist_name, '')))
     LEFT JOIN metadata m2 ON m2.term = k.clean"""))
 def j2_metadata_lookup(spark, sf_dir):
     a = Adapters(spark, sf_dir)
-    r = raw_tracks(a).where(F.col("track_title").isNotNull()).select("track_title", "artist_name").distinct()
+    artist = F.when(F.pmod("src_part", F.lit(7)) == 0, F.lit(None)).otherwise(F.col("artist_name"))
+    r = raw_tracks(a).select("track_title", artist.alias("artist_name")).distinct()
     return I.join_metadata(r, metadata_table(a)).select(
-        "track_title", "artist_name", "genre", "country", "collection_name", "collection_id")
+        "track_title", "artist_name", "found_artist", "found_millis", "genre", "country", "collection_name", "collection_id")
 
 
 @register("j1_video_stats", with_ctes(["raw_tracks"], [("stats", """
