@@ -214,37 +214,64 @@ def _label_col(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit("Unknown"))
 
 
+def _row_hash(row_id: str, seed: int):
+    """Order of the rows: md5 of (seed, row id), which any SQL engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
+
+
+def _with_smallest(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """Add ``_in``: is the row among the ``_t`` smallest by (_h, row_id) of its group?
+
+    ``targets``: (keys, _t). Exact without sorting a large group in one task: a histogram over the
+    first 16 bits of the hash finds the bucket that holds the boundary; only it is ranked."""
+    rows = rows.withColumn("_b", F.substring("_h", 1, 4))
+    hist = (rows.join(targets, keys, "left_semi").groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb")))
+    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cut = (hist.withColumn("_cum", F.sum("_nb").over(run)).join(targets, keys)
+           .where(F.col("_cum") >= F.col("_t"))
+           .groupBy(*keys).agg(F.min_by(F.struct("_b", (F.col("_t") - F.col("_cum") + F.col("_nb")).alias("_r")), "_b").alias("_x"))
+           .select(*keys, F.col("_x._b").alias("_cb"), F.col("_x._r").alias("_rem")))
+    tagged = rows.join(targets.join(cut, keys, "left"), keys)
+    on_cut = F.coalesce(F.col("_b") == F.col("_cb"), F.lit(False))
+    clear = tagged.where(~on_cut).withColumn("_in", F.coalesce(F.col("_b") < F.col("_cb"), F.lit(False)) & (F.col("_t") > 0))
+    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_h", row_id)
+    edge = tagged.where(on_cut).withColumn("_in", F.row_number().over(in_bucket) <= F.col("_rem"))
+    return clear.unionByName(edge).drop("_b", "_cb", "_rem")
+
+
+def _repeat(df: DataFrame, times: str, block: int = 1000) -> DataFrame:
+    """Each row as often as ``times`` says; two steps, so no array grows with the count."""
+    blocks = F.floor((F.col(times) - 1) / block)
+    df = df.where(F.col(times) > 0).withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+    n = F.least(F.lit(block).cast("long"), F.col(times) - F.col("_blk") * block)
+    return df.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("_blk", "_one")
+
+
 def upsample(df: DataFrame, col: str, key: str = "session_id", row_id: str = "row_id",
              seed: int = 42) -> DataFrame:
-    """M1: for each label under 5 % add ceil((0.05·N - c) / 0.95) rows drawn with replacement.
+    """M1: for each label under 5 % add ceil((0.05·N - c) / 0.95) copies of its rows.
 
-    Draw i of a label picks the row ranked pmod(xxhash64(seed, key, label, i), c) + 1 by row_id:
-    deterministic and independent of partitioning. Only labels under 5 % are ranked."""
+    The copies are dealt evenly: every row gets need div c, and the (need mod c) rows with the
+    smallest hash one more; deterministic and independent of partitioning. Copies are identical
+    to their row (the row id included)."""
     lab = df.withColumn("_label", _label_col(col))
     n = lab.groupBy(key).agg(F.count(F.lit(1)).alias("_N"))
     c = lab.groupBy(key, "_label").agg(F.count(F.lit(1)).alias("_c")).join(n, key)
     need = F.ceil((F.lit(UPSAMPLE_SHARE) * F.col("_N") - F.col("_c")) / (F.lit(1.0) - F.lit(UPSAMPLE_SHARE)))
-    small = (c.where(F.col("_c") / F.col("_N") < UPSAMPLE_SHARE).withColumn("_need", need)
-             .where(F.col("_need") > 0))
-    draws = (small.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_need").cast("int"))))
-             .withColumn("_pick", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_label"), F.col("_i")),
-                                         F.col("_c")) + 1)
-             .select(key, "_label", "_pick"))
-    w = Window.partitionBy(key, "_label").orderBy(row_id)
-    ranked = (lab.join(small.select(key, "_label"), [key, "_label"], "left_semi")
-              .withColumn("_pick", F.row_number().over(w)))
-    extra = ranked.join(draws, [key, "_label", "_pick"]).drop("_pick")
-    return lab.unionByName(extra).drop("_label")
+    small = (c.where(F.col("_c") / F.col("_N") < UPSAMPLE_SHARE).withColumn("_need", need.cast("long"))
+             .where(F.col("_need") > 0)
+             .select(key, "_label", F.expr("_need div _c").alias("_each"), (F.col("_need") % F.col("_c")).alias("_t")))
+    rows = lab.withColumn("_h", _row_hash(row_id, seed)).join(small.select(key, "_label"), [key, "_label"], "left_semi")
+    dealt = _with_smallest(rows, small, [key, "_label"], row_id)
+    extra = _repeat(dealt.withColumn("_n", F.col("_each") + F.col("_in").cast("long")), "_n")
+    return df.unionByName(extra.select(df.columns))
 
 
 def downsample(df: DataFrame, col: str, key: str = "session_id", row_id: str = "row_id",
                seed: int = 42, strict: bool = False) -> DataFrame:
-    """M2: a label over 60 % keeps int((N - c)·0.6 / 0.4) rows, those with the smallest
-    xxhash64(seed, row_id). Exact without sorting the dominant label in one task: a histogram
-    over the top 16 hash bits finds the boundary bucket; only that bucket is ranked.
+    """M2: a label over 60 % keeps int((N - c)·0.6 / 0.4) rows, those with the smallest hash.
     A label at 100 % would keep 0 rows; unless ``strict`` it is kept whole (D24)."""
-    lab = (df.withColumn("_label", _label_col(col))
-           .withColumn("_h", F.xxhash64(F.lit(seed), F.col(row_id))))
+    lab = df.withColumn("_label", _label_col(col))
     n = lab.groupBy(key).agg(F.count(F.lit(1)).alias("_N"))
     c = lab.groupBy(key, "_label").agg(F.count(F.lit(1)).alias("_c")).join(n, key)
     target = ((F.col("_N") - F.col("_c")) * F.lit(DOMINANCE_SHARE) / (F.lit(1.0) - F.lit(DOMINANCE_SHARE))).cast("long")
@@ -252,37 +279,21 @@ def downsample(df: DataFrame, col: str, key: str = "session_id", row_id: str = "
     if not strict:
         dom = dom.where(F.col("_t") > 0)
     dom = dom.select(key, "_label", "_t")
-    bucket = F.shiftrightunsigned(F.col("_h"), 48)  # top 16 bits; hashes compare unsigned
-    hist = (lab.join(dom, [key, "_label"], "left_semi").withColumn("_b", bucket)
-            .groupBy(key, "_label", "_b").agg(F.count(F.lit(1)).alias("_nb")))
-    wc = Window.partitionBy(key, "_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (hist.withColumn("_cum", F.sum("_nb").over(wc)).join(dom, [key, "_label"])
-           .where(F.col("_cum") >= F.col("_t"))
-           .groupBy(key, "_label").agg(F.min_by(F.struct("_b", (F.col("_t") - F.col("_cum") + F.col("_nb")).alias("_r")),
-                                                "_b").alias("_x"))
-           .select(key, "_label", F.col("_x._b").alias("_cb"), F.col("_x._r").alias("_rem")))
-    cut = dom.join(cut, [key, "_label"], "left")  # target 0 (strict): no cut row -> keep none
-    tagged = lab.join(cut, [key, "_label"], "left").withColumn("_b", bucket)
-    keep_all = tagged.where(F.col("_t").isNull())
-    below = tagged.where(F.col("_t").isNotNull() & (F.col("_b") < F.col("_cb")))
-    wb = Window.partitionBy(key, "_label", "_b").orderBy("_h", row_id)
-    edge = (tagged.where(F.col("_t").isNotNull() & (F.col("_b") == F.col("_cb")))
-            .withColumn("_k", F.row_number().over(wb)).where(F.col("_k") <= F.col("_rem")).drop("_k"))
-    cols = df.columns
-    return keep_all.select(cols).unionByName(below.select(cols)).unionByName(edge.select(cols))
+    keep_all = lab.join(dom, [key, "_label"], "left_anti")
+    some = _with_smallest(lab.withColumn("_h", _row_hash(row_id, seed)), dom, [key, "_label"], row_id).where("_in")
+    return keep_all.select(df.columns).unionByName(some.select(df.columns))
 
 
 def mitigate(df: DataFrame, columns, key: str = "session_id", row_id: str = "row_id",
              seed: int = 42, cut_lineage=None) -> DataFrame:
-    """M3: per column in order, up-sample then down-sample the running result. Up-sampled
-    copies get a fresh row_id so later steps can tell them apart. ``cut_lineage`` (e.g.
-    ``cadence.session.cut_lineage``) materialises between columns in the shared checkpoint dir."""
+    """M3: per column in order, up-sample then down-sample the running result. Copies share their
+    source's row_id: they are identical rows, so any choice among them in a later step gives the
+    same result. ``cut_lineage`` (e.g. ``cadence.session.cut_lineage``) materialises between
+    columns in the shared checkpoint folder."""
     out = df
     for c in columns:
         if c not in out.columns:
             continue
-        # up-sampled copies share their source's row_id; copies are identical rows, so any
-        # choice among them in the next step yields the same result
         out = downsample(upsample(out, c, key, row_id, seed), c, key, row_id, seed)
         if cut_lineage is not None:
             out = cut_lineage(out)

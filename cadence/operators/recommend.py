@@ -198,7 +198,7 @@ def _block_topk_fn(k: int, ids: list[str], sub_rows: int = 256):
 
     def run(q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if q.empty or items.empty:
-            return pd.DataFrame({ids[0]: [], ids[1]: [], "score": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*ids, "score"]})
         items = items.sort_values("video_id", kind="stable")     # so that position order is id order
         qm, im, names = unit(q["vector"]), unit(items["embedding"]), items["video_id"].to_numpy()
         take = np.minimum(k + q["k_extra"].to_numpy().astype(np.int64), len(names))

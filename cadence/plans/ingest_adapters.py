@@ -27,7 +27,7 @@ def raw_tracks(a: A.Adapters) -> DataFrame:
     m13 = F.pmod(k + pk, 13)
     return j.select(
         A.Adapters._session("l_orderkey").alias("session_id"),
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         F.col("l_orderkey").alias("src_order"), F.col("l_linenumber").alias("src_line"),
         F.col("l_partkey").alias("src_part"), F.col("l_suppkey").alias("src_supp"),
         F.col("o_custkey").cast("string").alias("user_id"),
@@ -58,6 +58,7 @@ def raw_tracks(a: A.Adapters) -> DataFrame:
 
 SQL_RAW_TRACKS = """
     SELECT l.l_orderkey // 4 AS session_id,
+           concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS row_id,
            l.l_orderkey AS src_order, l.l_linenumber AS src_line, l.l_partkey AS src_part, l.l_suppkey AS src_supp,
            CAST(o.o_custkey AS VARCHAR) AS user_id,
            o.o_orderpriority AS playlist_name,
@@ -87,7 +88,7 @@ SQL_DERIVED = """
            CASE WHEN view_count <> 0 THEN like_count / view_count ELSE 0.0 END AS like_to_view_ratio,
            CASE WHEN view_count <> 0 THEN comment_count / view_count ELSE 0.0 END AS comment_to_view_ratio,
            CAST(floor(trackTimeMillis / 1000) AS BIGINT) AS trackTimeSeconds
-    FROM (SELECT session_id, src_order, src_line, src_part, src_supp, user_id, playlist_name, track_title, artist_name, video_id, genre, country,
+    FROM (SELECT session_id, row_id, src_order, src_line, src_part, src_supp, user_id, playlist_name, track_title, artist_name, video_id, genre, country,
                  collection_name, collection_id,
             CASE WHEN r.trackTimeMillis IS NULL OR r.trackTimeMillis = '' THEN 0
                  WHEN TRY_CAST(r.trackTimeMillis AS DOUBLE) IS NULL

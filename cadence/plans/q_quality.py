@@ -159,38 +159,70 @@ def a30_slice_engagement(spark, sf_dir):
     return Q.slice_engagement(valid(spark, sf_dir), SLICES)
 
 
-# ---- M1 / M2: per-label counts after re-balancing (rows chosen by hash: pytest checks membership)
-
-GENRE_COUNTS = VALID + [("gc", """
-        SELECT session_id, coalesce(genre, 'Unknown') AS label, count(*) AS c,
-               sum(count(*)) OVER (PARTITION BY session_id) AS n FROM valid GROUP BY 1, 2""")]
-
-
-@register("m1_upsample_counts", with_ctes(["derived"], GENRE_COUNTS, """
-    SELECT session_id, label, CAST(CASE WHEN c / n < 0.05::DOUBLE
-             THEN c + greatest(ceil((0.05::DOUBLE * n - c) / (1.0::DOUBLE - 0.05::DOUBLE)), 0) ELSE c END AS BIGINT)
-           AS rows_after FROM gc"""))
-def m1_upsample_counts(spark, sf_dir):
-    up = Q.upsample(valid(spark, sf_dir), "genre")
-    return (up.groupBy("session_id", F.coalesce("genre", F.lit("Unknown")).alias("label"))
-            .agg(F.count(F.lit(1)).alias("rows_after")))
-
-
-@register("m2_downsample_counts", with_ctes(["derived"], GENRE_COUNTS, """
-    SELECT session_id, label, CASE WHEN c / n > 0.6::DOUBLE
-             AND CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT) > 0
-             THEN CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT)
-             ELSE CAST(c AS BIGINT) END AS rows_after FROM gc"""))
-def m2_downsample_counts(spark, sf_dir):
-    down = Q.downsample(valid(spark, sf_dir), "genre")
-    return (down.groupBy("session_id", F.coalesce("genre", F.lit("Unknown")).alias("label"))
-            .agg(F.count(F.lit(1)).alias("rows_after")))
-
-
-@register("m3_mitigate_then_report")
+# ---- M1 - M3, A10: the rows themselves, chosen by md5 of the row id ----------------------
+
+def _step_sql(src: str, col: str, name: str) -> list[tuple[str, str]]:
+    """Up-sampling then down-sampling of ``src`` by ``col`` as CTEs; the result is ``name``."""
+    h = "md5('42:' || row_id)"
+
+    def counted(of):
+        return f"""SELECT *, count(*) OVER (PARTITION BY session_id, lab) AS c, count(*) OVER (PARTITION BY session_id) AS n,
+                          row_number() OVER (PARTITION BY session_id, lab ORDER BY {h}, row_id) AS rk
+                   FROM (SELECT *, coalesce({col}, 'Unknown') AS lab FROM {of})"""
+
+    need = "CAST(ceil((0.05::DOUBLE * n - c) / (1.0::DOUBLE - 0.05::DOUBLE)) AS BIGINT)"
+    keep = "CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT)"
+    plain = "session_id, row_id, genre, country"
+    return [
+        (f"{name}_c", counted(src)),
+        (f"{name}_up", f"""
+            SELECT {plain} FROM {name}_c
+            UNION ALL SELECT {plain} FROM (
+              SELECT {plain}, unnest(range(need // c + CASE WHEN rk <= need % c THEN 1 ELSE 0 END)) AS i
+              FROM (SELECT *, {need} AS need FROM {name}_c WHERE c / n < 0.05::DOUBLE) WHERE need > 0)"""),
+        (f"{name}_d", counted(f"{name}_up")),
+        (name, f"""SELECT {plain} FROM {name}_d
+                   WHERE NOT (c / n > 0.6::DOUBLE AND {keep} > 0) OR rk <= {keep}"""),
+    ]
+
+
+M_SQL = VALID + _step_sql("valid", "genre", "m_genre") + _step_sql("m_genre", "country", "m_country")
+
+
+@register("m1_upsample_rows", with_ctes(["derived"], M_SQL[:len(VALID) + 2], """
+    SELECT session_id, row_id, count(*) AS copies FROM m_genre_up GROUP BY ALL"""))
+def m1_upsample_rows(spark, sf_dir):
+    return Q.upsample(valid(spark, sf_dir), "genre").groupBy("session_id", "row_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@register("m2_downsample_rows", with_ctes(["derived"], VALID + [("c", """
+    SELECT *, count(*) OVER (PARTITION BY session_id, lab) AS c, count(*) OVER (PARTITION BY session_id) AS n,
+           row_number() OVER (PARTITION BY session_id, lab ORDER BY md5('42:' || row_id), row_id) AS rk
+    FROM (SELECT *, coalesce(genre, 'Unknown') AS lab FROM valid)""")], """
+    SELECT session_id, row_id FROM c
+    WHERE NOT (c / n > 0.6::DOUBLE AND CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT) > 0)
+       OR rk <= CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT)"""))
+def m2_downsample_rows(spark, sf_dir):
+    return Q.downsample(valid(spark, sf_dir), "genre").select("session_id", "row_id")
+
+
+def _share_sql(src: str) -> str:
+    return f"""SELECT session_id, slice, label, round(count(*) / sum(count(*)) OVER (PARTITION BY session_id, slice), 4) + 0.0 AS share,
+                      CAST(sum(count(*)) OVER (PARTITION BY session_id, slice) AS BIGINT) AS total
+               FROM (SELECT session_id, 'genre' AS slice, coalesce(genre, 'Unknown') AS label FROM {src}
+                     UNION ALL SELECT session_id, 'country', coalesce(country, 'Unknown') FROM {src}) GROUP BY session_id, slice, label"""
+
+
+@register("m3_mitigate_then_report", with_ctes(["derived"], M_SQL + [("b", _share_sql("valid")), ("a", _share_sql("m_country"))], """
+    SELECT coalesce(b.session_id, a.session_id) AS session_id, coalesce(b.slice, a.slice) AS slice,
+           coalesce(b.label, a.label) AS label, coalesce(b.share, 0.0) AS before, b.total AS rows_before,
+           coalesce(a.share, 0.0) AS after, a.total AS rows_after,
+           coalesce(b.share, 0.0) < 0.05 AND coalesce(a.share, 0.0) >= 0.05 AS upsampled,
+           coalesce(b.share, 0.0) > 0.6 AND coalesce(a.share, 0.0) <= 0.6 AS downsampled
+    FROM b FULL OUTER JOIN a ON b.session_id = a.session_id AND b.slice = a.slice AND b.label = a.label"""))
 def m3_mitigate_then_report(spark, sf_dir):
-    """M3 + A10: genre then country re-balancing, then before/after shares (pytest-checked)."""
-    from cadence.session import cut_lineage
-    v = valid(spark, sf_dir)
+    """M3 + A10: genre then country re-balancing, then before/after shares."""
+    from cadence.session import cut_lineage, materialise
+    v = materialise(valid(spark, sf_dir).select("session_id", "row_id", *SLICES), "valid")
     after = Q.mitigate(v, SLICES, cut_lineage=cut_lineage)
     return Q.mitigation_report(v, after, SLICES)
