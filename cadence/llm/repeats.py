@@ -16,27 +16,30 @@ input, so it is done in three refinements that each see only what the one before
 2. Runs. Inside a bucket, runs are sorted by the names at their later offsets (first and last full
    string, and the offsets). All but the first of equal runs are covered by an earlier copy. A
    bucket with one kind of run is settled. Only first runs of the others stay open.
-3. Strings. The strings of open runs are named one by one and sorted the same way.
+3. Strings. The strings of open runs are named one by one and sorted the same way: where a bucket
+   has few open runs, their bytes meet in one task (a fraction of what the names would take);
+   the strings of larger buckets are dealt out by their names, so no bucket must be held whole.
 
 Equal runs are thinned inside each task before they are moved, so a passage that a third of all
 documents share arrives a few times per task. Names have 128 bits together (anchor and run, or
-anchor and string). Rows equal in id and text are one document that is listed twice: they get the
-same result. Null ids come last; a null text is empty; an empty table gives an empty result; extra
-columns pass through.
+anchor and string). Texts are moved deflated. Rows equal in id and text are one document that is
+listed twice: they get the same result. Null ids come last; a null text is empty; an empty table
+gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cadence.llm.common import materialise, packed
+from cadence.llm.common import materialise
 
 LENGTH = 100
+BUCKET_RUNS = 256                # open runs of a bucket that may meet in one task
 BUFFER_BITS = 20                 # bytes that are named together: below 2**20, with their places
 _PLACE = np.uint64((1 << BUFFER_BITS) - 1)
 _rng = np.random.default_rng(4242)
@@ -138,22 +141,19 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, names: Names) -> tuple[np.n
 
 
 def _ranks(ids: list, keys: list) -> np.ndarray:
-    """Order of a batch's documents by (id, nulls last; key); equal ones share a rank."""
+    """Order of a batch's documents by (id, nulls last; key)."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, 0 if ids[i] is None else ids[i], keys[i]))
-    rank = np.zeros(len(ids), np.int64)
-    for a, b in zip(order, order[1:]):
-        rank[b] = rank[a] + ((ids[a], keys[a]) != (ids[b], keys[b]))
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
     return rank
 
 
-def _later(x: np.ndarray, y: np.ndarray, rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort order by (x, y, rank, lo), and for that order: is an equal (x, y) earlier?"""
-    order = np.lexsort((lo, rank, y, x))
-    x, y, rank, lo = x[order], y[order], rank[order], lo[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, np.int64)
-    return order, (rank != rank[first]) | (lo != lo[first])
+def _first_of_equals(*keys: np.ndarray) -> np.ndarray:
+    """For rows sorted by ``keys``: is this the first row with its keys?"""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
 def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,174 +171,249 @@ def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return doc[first], s[first], reach[last] - doc[first] * wide
 
 
-def _spread(doc: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return _mix((doc * 1_000_003 + s).astype(np.uint64)).view(np.int64)
+def _batch(of: pa.RecordBatch | pa.Table, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, **more) -> pa.RecordBatch:
+    """Rows of documents (by their places in ``of``) with byte offsets, and more columns first."""
+    at = pa.array(rows.astype(np.int32))
+    ids = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (of.column("doc_id").take(at), of.column("k").take(at))]
+    cols = dict(more) | {"doc_id": ids[0], "k": ids[1], "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))}
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], list(cols))
 
 
-_COLS = ["h", "r", "doc_id", "k", "lo", "hi", "settled"]
+def _constant(value: bool, n: int) -> np.ndarray:
+    return np.full(n, value)
 
 
-def _rows(batch, docs, h, r, lo, hi, settled) -> pa.RecordBatch:
-    at = pa.array(docs.astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(r), batch.column(0).take(at), batch.column(1).take(at), pa.array(lo.astype(np.int32)),
-         pa.array(hi.astype(np.int32)), pa.array(np.full(len(h), settled))], _COLS)
-
-
-def _thinned(batch, names: Names, docs, lo, hi, h, r) -> Iterator[pa.RecordBatch]:
+def _thinned(batch: pa.RecordBatch, names: Names, docs, lo, hi, h, r) -> Iterator[pa.RecordBatch]:
     """Rows to move: of rows equal in (h, r) within this batch the first; the others are settled
     already, and leave as merged spans of bytes (dealt out at random)."""
-    rank = _ranks(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-    order, later = _later(h, r, rank[docs], lo)
-    gone, open_ = order[later], order[~later]
+    rank = _ranks(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist())
+    order = np.lexsort((lo, rank[docs], r, h))
+    first = _first_of_equals(h[order], r[order])
+    gone, open_ = order[~first], order[first]
     d, s, e = _merged(docs[gone], lo[gone], hi[gone] + names.length)
-    yield _rows(batch, d, _spread(d, s), np.zeros(len(d), np.int64), s, e, True)
-    yield _rows(batch, docs[open_], h[open_], r[open_], lo[open_], hi[open_], False)
+    spread = _mix((d * 1_000_003 + s).astype(np.uint64)).view(np.int64)
+    yield _batch(batch, d, s, e, h=spread, r=np.zeros(len(d), np.int64), settled=_constant(True, len(d)))
+    yield _batch(batch, docs[open_], lo[open_], hi[open_], h=h[open_], r=r[open_], settled=_constant(False, len(open_)))
 
 
 def _name_runs(names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                docs, lo, hi, h, r = find_runs(*_texts(batch.column(2)), names)
+                docs, lo, hi, h, r = find_runs(*_texts(batch.column("data")), names)
                 yield from _thinned(batch, names, docs, lo, hi, h, r)
 
     return run
 
 
-def _name_strings(names: Names):
-    """Name every string of the open runs of each document."""
+class _Refiner:
+    """Takes rows sorted by (h, r, rank): settles what has an equal earlier row and, if
+    ``leave_open``, gives the first row of each r in the buckets h that hold more than one r."""
+
+    def __init__(self, names: Names, leave_open: bool, bucket_runs: int = BUCKET_RUNS):
+        self.names, self.leave_open, self.bucket_runs = names, leave_open, bucket_runs
+        self.carry, self.given = None, False      # the last (h, r)'s first row; is its bucket open?
+
+    def step(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        settled = table.column("settled").to_numpy()
+        if settled.any():
+            at = np.flatnonzero(settled)
+            yield self._out(table, at, table.column("lo").to_numpy()[at], table.column("hi").to_numpy()[at], True, False)
+            table = table.filter(pa.array(~settled))
+        if not table.num_rows:
+            return
+        if self.carry is not None:
+            table = pa.concat_tables([self.carry, table]).combine_chunks()
+        h, r, lo, hi = (table.column(c).to_numpy() for c in ("h", "r", "lo", "hi"))
+        new = _first_of_equals(h, r)
+        first, gone = np.flatnonzero(new), np.flatnonzero(~new)
+        if len(gone):
+            yield self._out(table, gone, lo[gone], hi[gone] + self.names.length, True, False)
+        bucket = np.cumsum(_first_of_equals(h)) - 1
+        kinds = np.bincount(bucket[first])
+        # a bucket that began in an earlier batch, or may go on in the next one, counts as large
+        small = kinds <= self.bucket_runs
+        small[-1] = False
+        if self.given:
+            kinds[0], small[0] = 2, False
+        if self.leave_open:
+            open_ = first[kinds[bucket[first]] > 1]
+            if self.given:
+                open_ = open_[open_ > 0]          # the carried row was given before
+            if len(open_):
+                yield self._out(table, open_, lo[open_], hi[open_], False, small[bucket[open_]])
+        self.given = bool(kinds[-1] > 1)
+        self.carry = table.slice(int(first[-1]), 1)
+
+    @staticmethod
+    def _out(table, at, lo, hi, settled, small) -> pa.RecordBatch:
+        n = len(at)
+        return _batch(table, at, lo, hi, h=table.column("h").to_numpy()[at], settled=_constant(settled, n),
+                      small=np.broadcast_to(np.asarray(small, bool), n).copy())
+
+
+def _refine_runs(names: Names, bucket_runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refiner = _Refiner(names, True, bucket_runs)
+        for batch in batches:
+            if batch.num_rows:
+                yield from refiner.step(pa.Table.from_batches([batch]))
+
+    return run
+
+
+def _open_strings(names: Names):
+    """Of each document's open runs, the bytes (small buckets) or each string's name (large)."""
+
+    def with_bytes(b: pa.RecordBatch, found) -> pa.RecordBatch:
+        n = b.num_rows
+        return pa.RecordBatch.from_arrays([*b.columns, found if found is not None else pa.nulls(n, pa.binary())], [*b.schema.names, "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = _texts(batch.column(2))
-            runs = batch.column(3)
-            values = runs.flatten()
-            lo, hi, h = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(runs.offsets)))
-            n = hi - lo + 1
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc, p, h = np.repeat(doc, n), np.repeat(lo, n) + inside, np.repeat(h, n)
-            order = np.lexsort((p, doc))
-            doc, p, h = doc[order], p[order], h[order]
-            place = offsets[doc] + p
-            g = np.zeros(len(p), np.int64)
-            for a, b, _, _ in _buffers(offsets, names):
-                i, j = np.searchsorted(place, (a, b - names.length + 1))
-                if i < j:
-                    g[i:j] = names.grams(data[a:b])[1][place[i:j] - a].view(np.int64)
-            yield from _thinned(batch, names, doc, p, p, h, g)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                texts = [zlib.decompress(x) for x in part.column("z").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+                whole = b"".join(texts)
+                runs = part.column("runs")
+                values = runs.flatten()
+                lo, hi, h = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                small = values.field(3).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets)))
+                d, s, e = doc[small], lo[small], hi[small]
+                a = offsets[d] + s
+                cut = [whole[x:y] for x, y in zip(a.tolist(), (a + e - s + names.length).tolist())]
+                yield with_bytes(_batch(part, d, s, e, h=h[small], r=np.zeros(len(d), np.int64), settled=_constant(False, len(d))),
+                                 pa.array(cut, pa.binary()))
+                if small.all():
+                    continue
+                doc, lo, hi, h = doc[~small], lo[~small], hi[~small], h[~small]
+                n = hi - lo + 1
+                p = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                doc, h = np.repeat(doc, n), np.repeat(h, n)
+                order = np.lexsort((p, doc))
+                doc, p, h = doc[order], p[order], h[order]
+                place, g = offsets[doc] + p, np.zeros(len(p), np.int64)
+                data = np.frombuffer(whole, np.uint8)
+                for x, y, _, _ in _buffers(offsets, names):
+                    i, j = np.searchsorted(place, (x, y - names.length + 1))
+                    if i < j:
+                        g[i:j] = names.grams(data[x:y])[1][place[i:j] - x].view(np.int64)
+                for b in _thinned(part, names, doc, p, p, h, g):
+                    yield with_bytes(b, None)
 
     return run
 
 
-def _refine(names: Names, leave_open: bool):
-    """Rows sorted by (h, r, rank): settle what has an equal earlier row; if ``leave_open``, also
-    give the first row of each r in those buckets h that hold more than one r."""
+def _compare_bytes(table: pa.Table, names: Names) -> pa.RecordBatch | None:
+    """Settle the strings of whole buckets from their runs' bytes; rows are sorted by (h, rank)."""
+    data, offsets = _texts(table.column("data").combine_chunks())
+    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+    h, lo = table.column("h").to_numpy(), table.column("lo").to_numpy().astype(np.int64)
+    n = table.column("hi").to_numpy() - lo + 1
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    g = names.grams(data)[1][offsets[row] + inside]
+    bucket = (np.cumsum(_first_of_equals(h)) - 1)[row]
+    order = np.lexsort((g, bucket))       # a stable sort: equal strings stay in rank order
+    gone = order[~_first_of_equals(g[order], bucket[order])]
+    r, s, e = _merged(row[gone], lo[row[gone]] + inside[gone], lo[row[gone]] + inside[gone] + names.length)
+    return _Refiner._out(table, r, s, e, True, False) if len(r) else None
+
 
+def _refine_strings(names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, many, given = None, False, False      # the last (h, r)'s first row, and its bucket's state
+        refiner, held = _Refiner(names, False), None      # held: a bucket that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            settled = table.column("settled").to_numpy()
-            if settled.any():
-                t = table.filter(pa.array(settled))
-                yield t.select(["doc_id", "k", "lo", "hi", "h", "settled"]).combine_chunks().to_batches()[0]
-                table = table.filter(pa.array(~settled))
-                if not table.num_rows:
-                    continue
-            if carry is not None:
-                table = pa.concat_tables([carry, table]).combine_chunks()
-            h, r, k, lo, hi = (table.column(c).to_numpy() for c in ("h", "r", "k", "lo", "hi"))
-            ids = table.column("doc_id").combine_chunks()
-            new_h = np.ones(len(h), bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new = new_h.copy()
-            new[1:] |= r[1:] != r[:-1]
-            first = np.flatnonzero(new)
-            to = first[np.cumsum(new) - 1]
-            rest = np.flatnonzero(~new)
-            a, b = ids.take(pa.array(rest)), ids.take(pa.array(to[rest]))
-            alike = np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
-            gone = rest[~(alike & (k[rest] == k[to[rest]]) & (lo[rest] == lo[to[rest]]))]
-            t = table.take(pa.array(gone)).select(["doc_id", "k", "lo", "hi", "h", "settled"])
-            t = t.set_column(3, "hi", pa.array((hi[gone] + names.length).astype(np.int32))).set_column(5, "settled", pa.array(np.ones(len(gone), bool)))
-            if len(gone):
-                yield from t.combine_chunks().to_batches()
-            bucket = np.cumsum(new_h) - 1
-            kinds = np.bincount(bucket[first])
-            if carry is not None and many:
-                kinds[0] = 2
-            if leave_open:
-                open_ = first[kinds[bucket[first]] > 1]
-                if carry is not None and given and len(open_) and open_[0] == 0:
-                    open_ = open_[1:]
-                if len(open_):
-                    yield from table.take(pa.array(open_)).select(["doc_id", "k", "lo", "hi", "h", "settled"]).combine_chunks().to_batches()
-            many = bool(kinds[-1] > 1)
-            given = many
-            carry = table.slice(int(first[-1]), 1)
+            by_bytes = table.column("data").is_valid()
+            yield from refiner.step(table.filter(table.column("data").is_null()).drop_columns(["data"]))
+            rows = table.filter(by_bytes)
+            if not rows.num_rows:
+                continue
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            h = rows.column("h").to_numpy()
+            last = int(np.flatnonzero(_first_of_equals(h))[-1])
+            held = rows.slice(last)
+            if last and (out := _compare_bytes(rows.slice(0, last), names)) is not None:
+                yield out
+        if held is not None and (out := _compare_bytes(held, names)) is not None:
+            yield out
 
     return run
 
 
+def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            z = pa.array([zlib.compress(x.as_buffer(), 1) for x in part.column("data")], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), z], ["doc_id", "k", "z"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sizes, spans, kept = [], [], []
+            for z, own in zip(part.column("z").to_pylist(), part.column("spans")):
+                x = zlib.decompress(z)
+                sizes.append(len(x))
+                if not own.is_valid:
+                    spans.append([])
+                    kept.append(x)
+                    continue
+                s, e = (own.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
+                spans.append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())])
+                kept.append(b"".join(x[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(x)])))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("k"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
+                ["doc_id", "text_key", "n_bytes", "spans", "kept"])
+
+
 def _sorted_by_bucket(rows: DataFrame, *keys: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, *keys).sortWithinPartitions("h", "r", F.col("doc_id").isNull(), "doc_id", "k", "lo")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(base, spans)``: ``base(row, doc_id, k, data)`` are the documents as bytes, and
-    ``spans(doc_id, k, spans)`` the byte spans to remove, per document that has any (not merged)."""
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.k") == F.col(f"{b}.k"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", bucket_runs: int = BUCKET_RUNS) -> DataFrame:
+    """``(doc_id, text_key, n_bytes, spans, kept)`` for every input row: the maximal removed byte
+    spans, in order, and the bytes that remain (which may begin or end inside a character).
+    ``text_key`` is 0 where ids name the documents, else a content key. ``bucket_runs`` sets which
+    buckets are compared by bytes in one task; it changes the work, not the result."""
     names = Names(length)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     n = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    unique = n.n == n.d
     text = docs[text_col].cast("string")
-    # where ids name the documents, they are enough; else a content key tells rows apart
-    key = F.lit(0).cast("long") if n.n == n.d else F.xxhash64(docs["doc_id"], text)
-    base = docs.select(packed(docs).alias("row"), docs["doc_id"].alias("doc_id"), key.alias("k"),
-                       F.coalesce(text.cast("binary"), F.lit(b"")).alias("data"))
-    schema = f"h long, r long, doc_id {id_type}, k long, lo int, hi int, settled boolean"
-    out = f"doc_id {id_type}, k long, lo int, hi int, h long, settled boolean"
-    runs = base.select("doc_id", "k", "data").mapInArrow(_name_runs(names), schema)
-    runs = materialise(_sorted_by_bucket(runs, "h").mapInArrow(_refine(names, True), out), "runs")
-
-    open_runs = runs.where(~F.col("settled")).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("runs"))
-    b, o = base.select("doc_id", "k", "data").alias("b"), open_runs.alias("o")
-    on = F.col("b.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("b.k") == F.col("o.k"))
-    named = b.join(o, on).select("b.doc_id", "b.k", "data", "runs").mapInArrow(_name_strings(names), schema)
-    strings = _sorted_by_bucket(named, "h", "r").mapInArrow(_refine(names, False), out)
+    key = F.lit(0).cast("long") if unique else F.xxhash64(docs["doc_id"], text)
+    base = docs.select(docs["doc_id"].alias("doc_id"), key.alias("k"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("data"))
+    once = base if unique else base.dropDuplicates(["doc_id", "k"])
+    deflated = f"doc_id {id_type}, k long, z binary"
+    place = f"doc_id {id_type}, k long, lo int, hi int"
+    refined = f"h long, settled boolean, small boolean, {place}"
+
+    runs = once.mapInArrow(_name_runs(names), f"h long, r long, settled boolean, {place}")
+    runs = materialise(_sorted_by_bucket(runs, "h").mapInArrow(_refine_runs(names, bucket_runs), refined), "runs")
+
+    texts = once.mapInArrow(_deflate, deflated)
+    open_runs = runs.where(~F.col("settled")).groupBy("doc_id", "k").agg(F.collect_list(F.struct("lo", "hi", "h", "small")).alias("runs"))
+    named = texts.alias("t").join(open_runs.alias("o"), _same("t", "o")).select("t.doc_id", "t.k", "z", "runs")
+    named = named.mapInArrow(_open_strings(names), f"h long, r long, settled boolean, {place}, data binary")
+    strings = _sorted_by_bucket(named, "h", "r").mapInArrow(_refine_strings(names), refined)
+
     gone = runs.where("settled").select("doc_id", "k", "lo", "hi").union(strings.select("doc_id", "k", "lo", "hi"))
-    return base, gone.groupBy("doc_id", "k").agg(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))).alias("spans"))
-
-
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-
-@F.pandas_udf(T.StructType([T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("kept", T.BinaryType())]))
-def _remove(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    merged, kept = [], []
-    for x, own in zip(data, spans):
-        s = np.array([v["start"] for v in own], np.int64)
-        e = np.array([v["end"] for v in own], np.int64)
-        _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
-        merged.append([{"start": int(a), "end": int(b)} for a, b in zip(s, e)])
-        kept.append(b"".join(x[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(x)])))
-    return pd.DataFrame({"spans": merged, "kept": kept})
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """``(row, n_bytes, spans, kept)`` for every input row: the maximal removed byte spans, in
-    order, and the bytes that remain (which may begin or end inside a character)."""
-    base, spans = repeated_spans(docs, length, text_col)
-    b, s = base.alias("b"), spans.alias("s")
-    on = F.col("b.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("b.k") == F.col("s.k"))
-    joined = b.join(s, on, "left").select("row", "data", "spans")
-    done = joined.withColumn("done", F.when(F.col("spans").isNotNull(), _remove("data", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return done.select("row", F.octet_length("data").cast("long").alias("n_bytes"),
-                       F.coalesce("done.spans", empty).alias("spans"), F.coalesce("done.kept", "data").alias("kept"))
+    spans = gone.groupBy("doc_id", "k").agg(F.collect_list(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"))).alias("spans"))
+    every = texts if unique else base.mapInArrow(_deflate, deflated)
+    joined = every.alias("t").join(spans.alias("s"), _same("t", "s"), "left").select("t.doc_id", "t.k", "z", "spans")
+    return joined.mapInArrow(_cut, f"doc_id {id_type}, text_key long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

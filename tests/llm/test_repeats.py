@@ -8,7 +8,7 @@ from tests_llm_data import frame
 
 
 def brute(rows, length):
-    """Kept bytes and spans per distinct (doc_id, text), in id order (nulls last)."""
+    """Sizes and kept bytes per distinct (doc_id, text), in id order (nulls last)."""
     seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t, *_ in rows}, key=lambda x: (x[0] is None, x[0] or 0)):
         d = (t or "").encode()
@@ -23,18 +23,16 @@ def brute(rows, length):
     return out
 
 
-def check(spark, rows, length):
+def check(spark, rows, length, **options):
     want = brute(rows, length)
-    got = R.remove_repeats(frame(spark, rows), length).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        n, gone, spans, kept = want[r.row.doc_id, r.row.text]
-        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) == (n, gone, spans, kept)
-        assert r.row.row == "extra"
+    got = R.remove_repeats(frame(spark, rows), length, **options).collect()
+    found = sorted((str(r.doc_id), r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
+    assert found == sorted((str(i), *want[i, t]) for i, t, *_ in rows)
 
 
+@pytest.mark.parametrize("limit", [256, 1])
 @pytest.mark.parametrize("seed,length,alphabet", [(1, 8, "ab"), (2, 9, "abcé"), (3, 100, "abcdefgh "), (4, 33, "xyñ\n")])
-def test_matches_brute_force(spark, seed, length, alphabet):
+def test_matches_brute_force(spark, seed, length, alphabet, limit):
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
     shared = [text(rng.randrange(length, 5 * length)) for _ in range(4)]
@@ -46,7 +44,7 @@ def test_matches_brute_force(spark, seed, length, alphabet):
         rows.append((i * 7 % 61, "".join(parts), "s", "en"))
     rows += [(100, None, None, None), (101, "", "s", "en"), rows[3], (102, shared[0] * 3, "s", "en"), (103, "a" * 5 * length, "s", "en")]
     rng.shuffle(rows)
-    check(spark, rows, length)
+    check(spark, rows, length, bucket_runs=limit)
 
 
 def test_null_ids_and_equal_ids(spark):
@@ -59,7 +57,7 @@ def test_text_longer_than_a_buffer(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(1_300_000))
     rows = [(1, long, "s", "en"), (2, "before " + long[1_047_000:1_050_000] + " after", "s", "en"), (3, long[700_000:700_150], "s", "en")]
-    got = {r.row.doc_id: r for r in R.remove_repeats(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in R.remove_repeats(frame(spark, rows)).collect()}
     assert got[1].spans == []
     assert [tuple(s) for s in got[2].spans] == [(7, 3007)] or got[2].spans[0].start <= 7
     assert sum(s.end - s.start for s in got[2].spans) >= 3000 and got[3].kept == b""
