@@ -31,4 +31,4 @@ def load_all() -> None:
     """Import every query module so its ``@register`` calls run."""
     from cadence.plans import ingest_adapters  # noqa: F401  (registers SQL adapters)
     from cadence.plans import (q_recommend, q_ingest, q_quality, q_feedback,  # noqa: F401
-                               q_monitoring, q_sequences)
+                               q_monitoring, q_sequences, q_sessions)
