@@ -5,8 +5,8 @@ case, white space collapsed), and its 128-bit digest is grouped over all documen
 occurrence (smallest doc_id, nulls last, then the text's content key, then the place in the text)
 stays; every later one is removed, with its offsets in the original text kept in the result.
 
-Units with fewer than ``min_words`` words (short headings, single words) are never removed: they
-repeat by chance. Defined results: a null text has no units; rows equal in id and text share one
+Every unit with a word counts, however short; a caller who wants short headings to stay can give
+``min_words``. Units of white space only are never removed. Defined results: a null text has no units; rows equal in id and text share one
 rank, so they are treated alike and both keep what the first of them keeps; an empty table gives
 an empty result; extra columns pass through.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadence.llm.common import materialise, packed, text_key
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 _PARAGRAPH = re.compile(r"(?:[^\n]*[^\s][^\n]*(?:\n|$))+|[^\n]*\n|[^\n]+$")
 
 

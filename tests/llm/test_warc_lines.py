@@ -149,3 +149,11 @@ def test_units_make_up_the_text():
 def test_line_dedup_of_nothing(spark):
     assert U.dedup_units(frame(spark, [])).count() == 0
     assert U.removals(frame(spark, [(1, None, None, None)])).where(F.size("removed") > 0).count() == 0
+
+
+def test_short_units_and_texts_without_spaces_count(spark):
+    passage = "これは空白のない長い文です。" * 30
+    rows = [(1, f"Heading\n{passage}\nfirst text here\n \n", "s", "ja"), (2, f"heading\n{passage}\nother text here\n \n", "s", "ja")]
+    got = {r.row.doc_id: r for r in U.dedup_units(frame(spark, rows)).collect()}
+    assert got[1].kept_text == rows[0][1] and got[1].n_units == 3
+    assert got[2].kept_text == "other text here\n \n" and len(got[2].removed) == 2
