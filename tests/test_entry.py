@@ -12,3 +12,8 @@ def test_entry_smoke(spark):
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 40
+
+
+def test_count_queries_stay_beside_the_row_queries():
+    names = {"m1_upsample_counts", "m1_upsample_rows", "m2_downsample_counts", "m2_downsample_rows"}
+    assert names <= set(E.queries()) and names <= set(E.oracle_sql())
