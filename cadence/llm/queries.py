@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadence.llm import decontaminate, langid, line_dedup, mixing, near_dedup, packing, quality, repeats, token_counts, warc
+from cadence.llm import (decontaminate, divergence, langid, line_dedup, mixing, near_dedup, packing, quality, repeats, token_counts, toxicity,
+                         variants, warc)
 from cadence.llm.common import scratch_path, table
 
 QUERIES = {}
@@ -171,3 +172,48 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+     o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+     k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(*) >= {divergence.MIN_DOCS}),
+     v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+     c AS (SELECT lang, source, term, sum(n) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     f AS (SELECT g.lang, g.source, k.term, CAST(coalesce(n, 0) AS HUGEINT) AS n
+           FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+     p AS (SELECT lang, source, term, n, 1 + ({divergence.SCALE} * (n + {divergence.SMOOTH})) // (sum(n) OVER (PARTITION BY lang, source) + {divergence.SMOOTH} * v) AS p
+           FROM f JOIN v USING (lang)),
+     l AS (SELECT lang, term, 1 + ({divergence.SCALE} * (n + {divergence.SMOOTH})) // (sum(n) OVER (PARTITION BY lang) + {divergence.SMOOTH} * v) AS q
+           FROM (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL) JOIN v USING (lang)),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     term AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+     x AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+           UNION ALL
+           SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM x WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
