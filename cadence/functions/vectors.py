@@ -1,7 +1,7 @@
 """Vector kernels on ``array<double>`` columns (R9) and grouped vector means.
 
-Row-wise maths uses higher-order functions so it stays inside whole-stage codegen;
-grouped means use ``Summarizer``, which folds vectors in the JVM with partial aggregation,
+Row-wise maths uses higher-order functions: JVM-side, without Python workers (array lambdas are
+evaluated outside whole-stage codegen); grouped means use ``Summarizer``, which folds vectors in the JVM with partial aggregation,
 so no group is ever collected into one list.
 """
 
@@ -39,11 +39,6 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda v: v / n)).otherwise(a)
 
 
-def axpy(a: Column, x: Column, y: Column) -> Column:
-    """a·x + y element-wise (a is a scalar column)."""
-    return F.zip_with(x, y, lambda u, v: a * u + v)
-
-
 def vector_mean(c: Column | str, weight: Column | str | None = None) -> Column:
     """Aggregate: element-wise (weighted) mean of an ``array<double>`` column, as array<double>.
 

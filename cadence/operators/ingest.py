@@ -1,6 +1,6 @@
 """Batch session ingest: P1-P4 derivation, F1 validation routing, F2 tags, J1 / J2 lookups,
 W4 first-row dedupe and P6-P11 preprocessing. One pass adds an ``error`` column; valid and
-invalid outputs are two filters of the same (persisted) frame."""
+invalid outputs are two filters of the same frame (a caller that needs both writes it first)."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ COLUMNS = [
     "trackTimeSeconds", "view_count", "like_count", "comment_count",
     "like_to_view_ratio", "comment_to_view_ratio",
 ]
+SONG_INPUTS = ["track_title", "artist_name", "genre", "collection_name", "country", "trackTimeMillis", "view_count", "like_count",
+               "comment_count", "like_to_view_ratio", "comment_to_view_ratio"]
 # Error text as the reference's tagger raises it.
 ERR_NONE_STRIP = "'NoneType' object has no attribute 'strip'"
 
@@ -118,7 +120,9 @@ def first_per_key(df: DataFrame, key, order_cols) -> DataFrame:
 def preprocess_songs(tracks: DataFrame, order_cols, dataset_key: str = "session_id") -> DataFrame:
     """P6-P11 after W4: dedupe by video_id, fill categorical nulls, clean texts, coerce
     numerics, duration_sec, recompute zero ratios, popularity by min-max within the dataset."""
-    df = first_per_key(tracks, [dataset_key, "video_id"], order_cols)
+    # only what the songs need is moved: not the record as it came, nor the tags
+    needed = [dataset_key, "video_id", *SONG_INPUTS, *[c for c in order_cols if c not in SONG_INPUTS]]
+    df = first_per_key(tracks.select(*needed), [dataset_key, "video_id"], order_cols)
     for c in ("track_title", "artist_name", "genre", "collection_name", "country"):
         df = df.withColumn(c, S.fill_unknown(c))
     for c in ("track_title", "artist_name", "genre", "collection_name"):

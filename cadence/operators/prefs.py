@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions import scalars as S
 
+# Fixed values of the reference: the keys of a feedback event and the known actions.
 FEEDBACK_KEYS = ("session_id", "user_id", "video_id", "action")
 FEEDBACK_ACTIONS = ("like", "dislike", "skip", "replay")
 MUSIC_EVENT_ACTIONS = ("play", "skip", "like", "dislike", "replay", "complete")
@@ -89,12 +90,14 @@ def with_feedback_weight(df: DataFrame, action: str = "action") -> DataFrame:
     return df.withColumn("score_delta", S.feedback_weight(action))
 
 
-def track_scores(scored: DataFrame) -> DataFrame:
-    """Per (session_id, video_id): Σ score_delta and per-action counters (lower-cased, D8)."""
+def track_scores(scored: DataFrame, ts: str | None = None) -> DataFrame:
+    """Per (session_id, video_id): Σ score_delta and per-action counters (lower-cased, D8); with
+    ``ts`` also the time of the last event, ``last_updated``."""
     a = F.lower(F.col("action"))
+    last = [F.max(ts).alias("last_updated")] if ts else []
     return (scored.groupBy("session_id", "video_id")
             .agg(F.sum("score_delta").alias("score"),
-                 *[F.count_if(a == x).alias(f"{x}_count") for x in FEEDBACK_ACTIONS]))
+                 *[F.count_if(a == x).alias(f"{x}_count") for x in FEEDBACK_ACTIONS], *last))
 
 
 # ---- A12 / P16: preference sets --------------------------------------------------------
@@ -119,9 +122,12 @@ def latest_action(feedback: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def first_vote(votes: DataFrame, order_cols) -> DataFrame:
-    """Only the first vote per (session, user, song) counts."""
-    w = Window.partitionBy("session_id", "user_id", "video_id").orderBy(*order_cols)
-    return votes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    """Only the first vote per (session, user, song) counts. A minimum that is reduced inside
+    each task first, so a song that everybody votes on is no hot group."""
+    keys = ["session_id", "user_id", "video_id"]
+    rest = [c for c in votes.columns if c not in keys]
+    return (votes.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order_cols)).alias("_v"))
+            .select(*keys, "_v.*").select(*votes.columns))
 
 
 # ---- S15 / S16: history append and preference merge ------------------------------------

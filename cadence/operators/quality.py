@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import format_pct1, round_to
+from cadence.operators.selection import quantiles
+from cadence.session import materialise
 
 # Fixed thresholds of the reference.
 UNDERREPRESENTED_SHARE = 0.01     # A3
@@ -20,6 +22,7 @@ DOMINANCE_SHARE = 0.6             # M2
 INVALID_PCT = 5.0                 # A9
 UNKNOWN_GENRE_PCT = 30.0          # A9
 ZERO_VIEW_PCT = 20.0              # A9 (declared, unchecked in the reference; D14)
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 # Expected schema of a valid track: column -> (nullable, numeric, min, max)
 EXPECTED_SCHEMA = {
     "playlist_name": (False, False, None, None),
@@ -52,16 +55,13 @@ def _labels(df: DataFrame, slices, key: str, unknown: str = "Unknown") -> DataFr
 def slice_counts(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
     """A1: (key, slice, label, count, total, proportion[4 dp])."""
     c = _labels(df, slices, key).groupBy(key, "slice", "label").agg(F.count(F.lit(1)).alias("count"))
-    tot = c.groupBy(key, "slice").agg(F.sum("count").alias("total"))
-    return (c.join(tot, [key, "slice"])
+    # label counts are few per session; their total needs no second look at the rows
+    return (c.withColumn("total", F.sum("count").over(Window.partitionBy(key, "slice")))
             .withColumn("proportion", round_to(F.col("count") / F.col("total"), 4)))
 
 
-def slice_stats(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
-    """A1-A3 per (key, slice): total, label_count, unique_values (distinct counts, D12),
-    entropy / max_entropy (natural log, 4 dp), dominant label and share, under-represented
-    labels (< 1 %), bias_flag (dominant > 60 %). Ties for dominant: count desc, label asc."""
-    c = slice_counts(df, slices, key)
+def _stats(c: DataFrame, key: str) -> DataFrame:
+    """A2-A3 from label counts ``(key, slice, label, count, total)``."""
     p = F.col("count") / F.col("total")
     return (c.groupBy(key, "slice")
             .agg(F.first("total").alias("total"),
@@ -78,59 +78,111 @@ def slice_stats(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
             .drop("_dc"))
 
 
+def slice_stats(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
+    """A1-A3 per (key, slice): total, label_count, unique_values (distinct counts, D12),
+    entropy / max_entropy (natural log, 4 dp), dominant label and share, under-represented
+    labels (< 1 %), bias_flag (dominant > 60 %). Ties for dominant: count desc, label asc."""
+    return _stats(slice_counts(df, slices, key), key)
+
+
+def slice_sets(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
+    """A1 and A4's counts in one scan: (key, a, b, a_label, b_label, n) with ``b`` null for the counts
+    of one slice. One grouping set per slice and per pair of slices."""
+    present = [c for c in slices if c in df.columns]
+    labels = df.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in present])
+    pairs = [(a, b) for i, a in enumerate(present) for b in present[i + 1:]]
+    sets = [[F.col(key), F.col(c)] for c in present] + [[F.col(key), F.col(a), F.col(b)] for a, b in pairs]
+    out = labels.groupingSets(sets, key, *present).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in present])
+    # what the row is grouped by, first to last
+    by = F.filter(F.array(*[F.when(F.col(f"_g_{c}") == 0, F.struct(F.lit(c).alias("slice"), F.col(c).alias("label"))) for c in present]), lambda x: x.isNotNull())
+    return out.withColumn("_by", by).select(key, F.col("_by")[0]["slice"].alias("a"), F.get("_by", F.lit(1))["slice"].alias("b"),
+                                            F.col("_by")[0]["label"].alias("a_label"), F.get("_by", F.lit(1))["label"].alias("b_label"), "n")
+
+
+def cross_slices(sets: DataFrame, key: str = "session_id") -> DataFrame:
+    """A4 for every pair of slices: the row-normalised cross table in long format (key, pair, a_label,
+    b_label, n, share), with a row for every label of one slice and every label of the other that the
+    session has; combinations that do not occur are 0.
+
+    A session's labels are lists of its distinct labels (bounded by the vocabularies), joined per pair."""
+    single, cross = sets.where("b is null"), sets.where("b is not null")
+    labels = single.groupBy(key, "a").agg(F.collect_list(F.struct(F.col("a_label").alias("label"), F.col("n").alias("row_n"))).alias("labels"))
+    pairs = cross.groupBy(key, "a", "b").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a_label", "b_label"), "n"))).alias("cells"))
+    left, right = labels.select(key, "a", F.col("labels").alias("la")), labels.select(key, F.col("a").alias("b"), F.col("labels").alias("lb"))
+    grid = pairs.join(left, [key, "a"]).join(right, [key, "b"])
+    rows = grid.select(key, "a", "b", "cells", "lb", F.explode("la").alias("x")).select(key, "a", "b", "cells", "x", F.explode("lb").alias("y"))
+    n = F.coalesce(F.try_element_at("cells", F.struct(F.col("x.label").alias("a_label"), F.col("y.label").alias("b_label"))), F.lit(0).cast("long"))
+    return rows.select(key, F.concat("a", F.lit("_x_"), "b").alias("pair"), F.col("x.label").alias("a_label"), F.col("y.label").alias("b_label"),
+                       n.alias("n"), round_to(n / F.col("x.row_n"), 4).alias("share"))
+
+
 def cross_slice(df: DataFrame, a: str, b: str, key: str = "session_id") -> DataFrame:
-    """A4: row-normalised cross table of two slices, long format (key, a_label, b_label, share);
-    absent combinations are 0 and not listed."""
-    x = (df.select(key, F.coalesce(F.col(a).cast("string"), F.lit("Unknown")).alias("a_label"),
-                   F.coalesce(F.col(b).cast("string"), F.lit("Unknown")).alias("b_label"))
-         .groupBy(key, "a_label", "b_label").agg(F.count(F.lit(1)).alias("n")))
-    rows = x.groupBy(key, "a_label").agg(F.sum("n").alias("_row"))
-    return (x.join(rows, [key, "a_label"])
-            .select(key, F.lit(f"{a}_x_{b}").alias("pair"), "a_label", "b_label",
-                    round_to(F.col("n") / F.col("_row"), 4).alias("share")))
+    """A4: row-normalised cross table of two slices, long format (key, pair, a_label, b_label, share)."""
+    return cross_slices(slice_sets(df, [a, b], key), key).drop("n")
 
 
 def bias_summary(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
-    """A5: per key: record_count and the slices flagged as biased (missing columns skipped)."""
-    st = slice_stats(df, slices, key)
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("record_count"))
-    flags = st.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("bias_flag"), F.col("slice"))))
-                                .alias("overall_bias_flags"))
-    return n.join(flags, key, "left")
+    """A5 per key: record_count, the slices flagged as biased, the statistics of every slice (A1-A3) and
+    the cross tables of every pair of slices (A4), from one scan. Missing columns are skipped."""
+    sets = materialise(slice_sets(df, slices, key), "slice-counts")
+    counts = sets.where("b is null").select(key, F.col("a").alias("slice"), F.col("a_label").alias("label"), F.col("n").alias("count"))
+    st = _stats(counts.withColumn("total", F.sum("count").over(Window.partitionBy(key, "slice"))), key)
+    per_slice = F.struct("slice", "total", "label_count", "unique_values", "entropy", "max_entropy", "dominant_label", "dominant_share", "underrepresented", "bias_flag")
+    flags = st.groupBy(key).agg(F.max("total").alias("record_count"),
+                                F.array_sort(F.collect_list(F.when(F.col("bias_flag"), F.col("slice")))).alias("overall_bias_flags"),
+                                F.array_sort(F.collect_list(per_slice)).alias("slices"))
+    cross = cross_slices(sets, key).groupBy(key, "pair").agg(F.array_sort(F.collect_list(F.struct("a_label", "b_label", "share"))).alias("cells"))
+    cross = cross.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pair", "cells"))).alias("cross_slices"))
+    return flags.join(cross, key, "left")
 
 
 # ---- A6-A8 ---------------------------------------------------------------------------
 
 def column_profile(df: DataFrame, columns, numeric, key: str = "session_id") -> DataFrame:
     """A6 long format: (key, column, missing_count, missing_pct, unique_count, mean, std, min,
-    max, p25, p75). Percentiles are exact linear interpolation (pandas ``quantile``)."""
-    out = None
-    for c in columns:
-        num = c in numeric
-        x = F.col(c).cast("double") if num else F.col(c)
-        aggs = [F.count_if(F.col(c).isNull()).alias("missing_count"),
-                round_to(F.count_if(F.col(c).isNull()) / F.count(F.lit(1)) * 100, 2).alias("missing_pct"),
-                F.count_distinct(F.col(c)).alias("unique_count")]
-        if num:
-            aggs += [round_to(F.avg(x), 4).alias("mean"), round_to(F.stddev_samp(x), 4).alias("std"),
-                     round_to(F.min(x), 4).alias("min"), round_to(F.max(x), 4).alias("max"),
-                     round_to(F.percentile(x, F.lit(0.25)), 4).alias("p25"),
-                     round_to(F.percentile(x, F.lit(0.75)), 4).alias("p75")]
-        else:
-            aggs += [F.lit(None).cast("double").alias(n) for n in ("mean", "std", "min", "max", "p25", "p75")]
-        part = df.groupBy(key).agg(*aggs).withColumn("column", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return out
+    max, p25, p75), the statistics of numbers null for text columns. Percentiles are exact linear
+    interpolation (pandas ``quantile``).
+
+    One scan: the columns are unpivoted and reduced to distinct values with their numbers, which are
+    written once; everything else follows from those. No group's values are held in one task."""
+
+    def cell(c):
+        number = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if c in numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")
+        return F.struct(F.lit(c).alias("column"), number.alias("value"), text.alias("text"), F.coalesce(number.cast("string"), text).isNull().alias("missing"))
+
+    cells = F.array(*[cell(c) for c in columns])
+    cells = df.select(key, F.explode(cells).alias("_c")).select(key, "_c.*")
+    values = materialise(cells.groupBy(key, "column", "value", "text", "missing").agg(F.count(F.lit(1)).alias("n")), "column-values")
+    on = [key, "column"]
+    there = ~F.col("missing")
+    sums = values.groupBy(*on).agg(
+        F.sum("n").alias("_rows"), F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("missing_count"),
+        F.count_if(there).alias("unique_count"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_n"),
+        F.sum(F.col("value") * F.col("n")).alias("_sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+    sums = sums.withColumn("mean", F.col("_sum") / F.col("_n"))
+    numbers = values.where("value is not null").select(*on, "value", "n")
+    # squares of differences from the mean: sums of squares would lose the digits of large values
+    spread = numbers.join(sums.select(*on, "mean"), on).groupBy(*on).agg(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("_squares"))
+    at = quantiles(numbers, on, [0.25, 0.75]).select(*on, F.col("quantiles")[0].alias("p25"), F.col("quantiles")[1].alias("p75"))
+    out = sums.join(spread, on, "left").join(at, on, "left")
+    std = F.when(F.col("_n") > 1, F.sqrt(F.col("_squares") / (F.col("_n") - 1)))
+    return out.select(*on, "missing_count", round_to(F.col("missing_count") / F.col("_rows") * 100, 2).alias("missing_pct"), "unique_count",
+                      round_to("mean", 4).alias("mean"), round_to(std, 4).alias("std"), *[round_to(c, 4).alias(c) for c in ("min", "max", "p25", "p75")])
 
 
 def schema_violations(df: DataFrame, key: str = "session_id", schema: dict | None = None) -> DataFrame:
-    """(key, column, issue, count) for missing columns, unexpected nulls, below min, above max."""
+    """(key, column, issue, count) for missing columns, unexpected nulls, below min, above max;
+    ranges only of columns of a number type."""
     schema = schema or EXPECTED_SCHEMA
+    types = dict(df.dtypes)
     aggs, specs = [], []
     for c, (nullable, numeric, lo, hi) in schema.items():
         if c not in df.columns:
             specs.append((c, "missing_column", None))
             continue
+        # a column of another type has no range to check (its nulls still count)
+        numeric = numeric and types[c].startswith(NUMBER_TYPES)
         if not nullable:
             specs.append((c, "unexpected_nulls", f"_n_{c}"))
             aggs.append(F.count_if(F.col(c).isNull()).alias(f"_n_{c}"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import vectors as V
+from cadence.operators.nearest import MetricIndex
+from cadence.operators.numbering import numbered
+from cadence.session import materialise
 
 # Fixed values that must equal the reference's (recommendation config).
 TOP_N = 30
@@ -79,6 +82,14 @@ def in_catalog(df: DataFrame, catalog: DataFrame, item: str = "video_id") -> Dat
     return df.join(catalog.select(F.col("video_id").alias(item)), item, "left_semi")
 
 
+def dropped_likes(members: DataFrame, likes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """F12's count: per session, the likes of its members that the catalog holds and those that are
+    dropped: (session_id, kept, dropped)."""
+    songs = catalog.select("video_id", F.lit(True).alias("_in"))
+    liked = members.select("session_id", "user_id").distinct().join(likes.select("user_id", "video_id").distinct(), "user_id").join(songs, "video_id", "left")
+    return liked.groupBy("session_id").agg(F.count_if(F.col("_in").isNotNull()).alias("kept"), F.count_if(F.col("_in").isNull()).alias("dropped"))
+
+
 def session_likes(members: DataFrame, likes: DataFrame, catalog: DataFrame,
                   playlist: DataFrame | None = None) -> DataFrame:
     """S13 + F12 + U5: (session_id, user_id, video_id) liked by active members, catalog-filtered,
@@ -179,7 +190,7 @@ def normalized_session_scores(track_scores: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------
-# Exact per-session top-k cosine over the catalog without a cross join
+# Exhaustive top-k cosine (the pruned form, J10, is in ``nearest``) and cosine of given pairs
 # --------------------------------------------------------------------------------------
 
 TOPK_QUERY_ROWS, TOPK_ITEM_ROWS = 2_000, 20_000     # rows of one matrix product, on average
@@ -267,31 +278,20 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame, catalog: DataFrame, name:
 # --------------------------------------------------------------------------------------
 
 def cbf_scores(vectors: DataFrame, excluded: DataFrame, session_scores: DataFrame,
-               catalog: DataFrame, k: int = TOP_N, **topk_kw) -> DataFrame:
+               catalog: DataFrame | MetricIndex, k: int = TOP_N, **search) -> DataFrame:
     """Per session top-k of cbf_score + 0.3·session_score over catalog minus exclusions.
 
-    Exact without scoring rows that cannot win: the block top-k over-fetches by the number of
-    excluded and feedback-nudged items of the session, nudged items are scored explicitly.
+    Excluded and feedback-nudged songs are marks of the index search, so no session hands on more
+    than k rows. ``catalog``: the songs, or an index of them that several searches share.
     Output: session_id, video_id, cbf_score, session_score, final_score, rank.
     """
-    n_ex = excluded.groupBy("session_id").agg(F.count(F.lit(1)).alias("_ne"))
-    n_ss = session_scores.groupBy("session_id").agg(F.count(F.lit(1)).alias("_ns"))
-    q = (vectors.join(n_ex, "session_id", "left").join(n_ss, "session_id", "left")
-         .select("session_id", "vector",
-                 (F.coalesce("_ne", F.lit(0)) + F.coalesce("_ns", F.lit(0))).alias("k_extra")))
-    lim = q.select("session_id", (F.lit(k) + F.col("k_extra")).alias("_lim"))
-    best = (topk_cosine(q, catalog, k, **topk_kw).join(lim, "session_id")
-            .where(F.col("_r") <= F.col("_lim"))
-            .select("session_id", "video_id", F.col("score").alias("cbf_score")))
-    nudged = pair_cosine(session_scores.select("session_id", "video_id"), vectors, catalog, "cbf_score")
-    # a nudged item that is in the top list too keeps the pair's own score
-    cand = (best.join(nudged.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
-            .unionByName(nudged.select("session_id", "video_id", F.round("cbf_score", 12).alias("cbf_score")))
-            .join(excluded.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
-            .join(session_scores, ["session_id", "video_id"], "left")
-            .withColumn("session_score", F.coalesce("session_score", F.lit(0.0)))
-            .withColumn("final_score", F.col("cbf_score") + F.lit(SESSION_SCORE_WEIGHT) * F.col("session_score")))
-    return top_n(cand, "final_score", k)
+    index = catalog if isinstance(catalog, MetricIndex) else MetricIndex(catalog)
+    marks = (excluded.select("session_id", "video_id", F.lit(True).alias("excluded"), F.lit(0.0).alias("bonus"))
+             .unionByName(session_scores.select("session_id", "video_id", F.lit(False).alias("excluded"),
+                                                F.col("session_score").alias("bonus"))))
+    best = index.top_items(vectors, k, marks, weight=SESSION_SCORE_WEIGHT, **search)
+    return best.select("session_id", "video_id", F.col("score").alias("cbf_score"), F.col("bonus").alias("session_score"),
+                       F.col("total").alias("final_score"), "rank")
 
 
 def top_n(df: DataFrame, score: str, k: int = TOP_N, key: str = "session_id") -> DataFrame:
@@ -351,6 +351,25 @@ def cf_cooccurrence_scores(seeds: DataFrame, index: DataFrame, pop: DataFrame,
                             F.lit(1.0)).alias("cf_score")))
 
 
+def cf_top_n(scores: DataFrame, sessions: DataFrame, played: DataFrame, catalog: DataFrame, k: int = TOP_N) -> DataFrame:
+    """R2 + W2: the ``k`` best candidates per session of ``sessions``, ties and songs without a score
+    (0) by id: (session_id, video_id, cf_score, rank). Candidates are the catalog minus played songs.
+
+    Songs that score 0 are only looked up for sessions with fewer than ``k`` scores, and there only as
+    many of the smallest ids as can be needed: k, and one for each played or scored song."""
+    best = materialise(top_n(scores.select("session_id", "video_id", "cf_score"), "cf_score", k).drop("rank"), "cf-best")
+    seen = best.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    n_played = played.select("session_id", "video_id").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("_p"))
+    short = (sessions.select("session_id").distinct().join(seen, "session_id", "left").fillna(0, ["_n"]).where(F.col("_n") < k)
+             .join(n_played, "session_id", "left").fillna(0, ["_p"]))
+    need = short.select("session_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") + F.col("_p") + k)).alias("_i"))
+    songs = numbered(catalog.select(F.lit(0).alias("_all"), "video_id").distinct(), "_all", ["video_id"], "_i").select("_i", "video_id")
+    zeros = (need.join(songs, "_i").select("session_id", "video_id")
+             .join(played.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti")
+             .join(best.select("session_id", "video_id"), ["session_id", "video_id"], "left_anti").withColumn("cf_score", F.lit(0.0)))
+    return top_n(best.unionByName(zeros), "cf_score", k)
+
+
 def cf_fallback_vectors(seeds: DataFrame, catalog: DataFrame) -> DataFrame:
     """R3 helper: per session, unweighted mean embedding of the distinct seed songs in catalog."""
     emb = catalog.select("video_id", V.as_double_array("embedding").alias("embedding"))

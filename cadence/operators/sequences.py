@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import vectors as V
+from cadence.operators.numbering import changes, numbered
+from cadence.session import materialise
 
 MAX_SEQ_LEN = 15  # fixed value of the reference's sequence model
+SUB_SESSION_SONGS = 10  # fixed value of the reference's player
+SEQUENCE_CHUNK = 1000  # plays of one array
 
 
 def known_plays(plays: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -38,12 +42,18 @@ def recent_mean_model(plays: DataFrame, catalog: DataFrame, session_state: DataF
     return recent.groupBy("session_id").agg(V.vector_mean("embedding").alias("vector"))
 
 
-def play_sequences(plays: DataFrame, min_len: int = 2) -> DataFrame:
-    """Ordered sequence per session as array<struct<play_order, video_id, liked_flag>>,
-    sessions with at least ``min_len`` plays."""
-    return (plays.groupBy("session_id")
+def play_sequences(plays: DataFrame, min_len: int = 2, chunk: int = SEQUENCE_CHUNK) -> DataFrame:
+    """Ordered sequence per session, sessions with at least ``min_len`` plays, in chunks of bounded
+    length: (session_id, chunk, sequence array<struct<play_order, video_id, liked_flag>>). ``plays``
+    carry their number in the session (``play_order`` from 1, see ``numbering``), so a session of any
+    length spreads over tasks and no array holds more than ``chunk`` plays."""
+    if min_len > chunk:
+        raise ValueError("min_len must not be larger than a chunk")
+    part = F.expr(f"(play_order - 1) div {chunk}").alias("chunk")
+    return (plays.groupBy("session_id", part)
             .agg(F.sort_array(F.collect_list(F.struct("play_order", "video_id", "liked_flag"))).alias("sequence"))
-            .where(F.size("sequence") >= min_len))
+            # a later chunk exists only if the first is full
+            .where((F.col("chunk") > 0) | (F.size("sequence") >= min_len)))
 
 
 def eligible_sequences(plays: DataFrame, min_events: int = 5) -> DataFrame:
@@ -76,6 +86,84 @@ def prefix_samples(plays: DataFrame, n: int = MAX_SEQ_LEN) -> DataFrame:
                     F.transform("_c", lambda s: s["video_id"]).alias("context")))
 
 
+def usable_plays(plays: DataFrame, catalog: DataFrame, unknown: str) -> DataFrame:
+    """The plays that training samples are made of, numbered from 1 without gaps.
+
+    ``unknown`` says what a song outside the catalog does: ``"stop"`` ends the session's samples (a
+    sample is dropped if any song of its whole prefix, or its target, is unknown: training from
+    scratch), ``"skip"`` leaves the play out (retraining on real sessions)."""
+    songs = catalog.select("video_id", F.lit(True).alias("_known"))
+    marked = plays.join(songs, "video_id", "left").select("session_id", "play_order", "video_id", "liked_flag", F.coalesce("_known", F.lit(False)).alias("_known"))
+    if unknown == "skip":
+        return numbered(marked.where("_known").select("session_id", F.col("play_order").alias("_at"), "video_id", "liked_flag"), "session_id", ["_at"]).drop("_at")
+    if unknown != "stop":
+        raise ValueError("unknown must be 'stop' or 'skip'")
+    marked = materialise(marked, "marked-plays")
+    first = marked.where("not _known").groupBy("session_id").agg(F.min("play_order").alias("_first"))
+    out = marked.join(first, "session_id", "left").where("_first is null or play_order < _first")
+    return out.select("session_id", "play_order", "video_id", "liked_flag")
+
+
+def prefix_tensors(plays: DataFrame, catalog: DataFrame, unknown: str = "stop", n: int = MAX_SEQ_LEN) -> DataFrame:
+    """W6 whole: one sample per usable play i >= 2. ``input`` is the matrix of the ``n`` plays before
+    i, row by row (oldest first), each row embedding ++ [liked flag], with zero rows on the left where
+    there are fewer; ``target`` is the embedding of play i. (session_id, play_order, target_video_id,
+    rows, width, input array<float>, target array<float>); ``rows`` of the ``n`` rows are plays.
+
+    Plays go to their bucket of ``n`` numbers and to the next one, as in ``prefix_samples``; a sorted
+    partition is then assembled as Arrow arrays. A sample never leaves its bucket, so a session with a
+    third of all plays spreads over tasks, and a batch holds a bounded number of samples."""
+    emb = catalog.select("video_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    p = usable_plays(plays, catalog, unknown).withColumn("_b", F.expr(f"(play_order - 1) div {n}"))
+    placed = p.withColumn("bucket", F.explode(F.array(F.col("_b"), F.col("_b") + 1))).withColumn("own", F.col("bucket") == F.col("_b"))
+    rows = placed.join(emb, "video_id").select("session_id", "bucket", "play_order", "own", "video_id", F.col("liked_flag").cast("float").alias("liked"), "embedding")
+    parts = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "session_id", "bucket").sortWithinPartitions("session_id", "bucket", "play_order")
+    s, v = (dict(rows.dtypes)[c] for c in ("session_id", "video_id"))
+    return dealt.mapInArrow(_assemble(n), f"session_id {s}, play_order long, target_video_id {v}, rows int, width int, input array<float>, target array<float>")
+
+
+def _assemble(n: int, sample_rows: int = 512):
+    """Samples of sorted rows: a row's context are the rows before it in its (session, bucket)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks().to_batches()[0]
+            seen = 0 if tail is None else tail.num_rows
+            change = changes(t.column(0)) | changes(t.column(1))
+            start = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
+            own = t.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            vec = t.column(6).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32)
+            full = np.concatenate([vec, t.column(5).to_numpy().astype(np.float32)[:, None]], axis=1)
+            at = np.arange(t.num_rows)
+            targets = np.flatnonzero(own & (at > start) & (at >= seen))
+            for lo in range(0, len(targets), sample_rows):
+                i = targets[lo:lo + sample_rows]
+                before = i[:, None] + np.arange(-n, 0)[None, :]
+                there = before >= start[i][:, None]
+                x = np.where(there[:, :, None], full[np.maximum(before, 0)], np.float32(0))
+                width = x.shape[2]
+                lists = lambda m, w: pa.ListArray.from_arrays(np.arange(0, (len(i) + 1) * w, w, dtype=np.int32), pa.array(m.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [t.column(0).take(pa.array(i)), t.column(2).cast(pa.int64()).take(pa.array(i)), t.column(4).take(pa.array(i)),
+                     pa.array(there.sum(axis=1).astype(np.int32)), pa.array(np.full(len(i), width, np.int32)), lists(x, n * width), lists(vec[i], vec.shape[1])],
+                    ["session_id", "play_order", "target_video_id", "rows", "width", "input", "target"])
+            # the context of the rows to come; rows that are kept are not targets again
+            tail = t.slice(max(int(start[-1]), t.num_rows - n))
+
+    return run
+
+
+def with_sub_session(plays: DataFrame, songs: int = SUB_SESSION_SONGS) -> DataFrame:
+    """The number of the sub-session (from 1) that a play belongs to, one per ``songs`` plays."""
+    return plays.withColumn("sub_session", F.expr(f"(play_order - 1) div {songs} + 1"))
+
+
 def split_by_session(df: DataFrame, validation_tenths: int = 1) -> DataFrame:
     """90/10 split by hashed session id (no session in both sets)."""
     return df.withColumn("split", F.when(F.pmod(F.xxhash64("session_id"), F.lit(10)) < validation_tenths,

@@ -17,9 +17,10 @@ Entity mapping
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.operators.numbering import numbered
 from cadence.sources.tables import Tables
 
 SESSION_SIZE = 4  # orders per listening session
@@ -75,16 +76,15 @@ class Adapters:
                         F.col("o_custkey").cast("string").alias("user_id")).distinct())
 
     def plays(self) -> DataFrame:
-        w = Window.partitionBy("session_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-        return (self.t.lineitem
-                .select(self._session("l_orderkey").alias("session_id"), "l_orderkey", "l_linenumber",
-                        "l_partkey", "l_returnflag", self.song("l_partkey").alias("video_id"),
-                        F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("liked_flag"))
-                .withColumn("play_order", F.row_number().over(w))
-                .drop("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
+        """Numbered by ranges, so that no session is sorted in one task; written once."""
+        rows = self.t.lineitem.select(
+            self._session("l_orderkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
+            self.song("l_partkey").alias("video_id"), F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("liked_flag"))
+        out = numbered(rows, "session_id", ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+        return out.drop("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
 
     def played(self) -> DataFrame:
-        return self.plays().select("session_id", "video_id").distinct()
+        return (self.t.lineitem.select(self._session("l_orderkey").alias("session_id"), self.song("l_partkey").alias("video_id")).distinct())
 
     def playlist(self) -> DataFrame:
         return (self.t.lineitem.where(F.col("l_returnflag") == "N")

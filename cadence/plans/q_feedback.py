@@ -14,8 +14,10 @@ from cadence.operators import prefs as P
 from cadence.plans.adapters import with_ctes, SQL_ADAPTERS, _SQL_DEPS
 from cadence.plans.q_recommend import r4, s4
 from cadence.plans.registry import register
+from cadence.session import scratch
 from cadence.sources.tables import Tables
 from cadence.streaming import feedback_stream as T
+from cadence.streaming.drain import append_history, session_preferences
 
 MUSIC_MAP = {"view": "play", "click": "like", "purchase": "complete", "error": "dislike", "signup": "skip"}
 FEEDBACK_MAP = {"click": "like", "error": "dislike", "signup": "skip", "purchase": "replay", "view": "view"}
@@ -99,11 +101,11 @@ def t4_window_metrics_batch(spark, sf_dir):
            count(*) FILTER (WHERE lower(action) = 'like') AS like_count,
            count(*) FILTER (WHERE lower(action) = 'dislike') AS dislike_count,
            count(*) FILTER (WHERE lower(action) = 'skip') AS skip_count,
-           count(*) FILTER (WHERE lower(action) = 'replay') AS replay_count
+           count(*) FILTER (WHERE lower(action) = 'replay') AS replay_count, CAST(max(ts) AS VARCHAR) AS last_updated
     FROM feedback GROUP BY ALL"""))
 def t6_track_score_state(spark, sf_dir):
     s = T.score_state(feedback_events(spark, sf_dir))
-    return s.withColumn("score", r4(F.col("score")))
+    return s.withColumn("score", r4(F.col("score"))).withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 @register("t7_latest_action", with_ctes(["feedback"], [], f"""
@@ -174,29 +176,69 @@ def f5_parse_music_events(spark, sf_dir):
 @register("f3_parse_feedback", with_ctes(["feedback"], [], """
     SELECT session_id, count(*) AS n FROM feedback WHERE action <> 'view' GROUP BY 1"""))
 def f3_parse_feedback(spark, sf_dir):
+    return P.parse_feedback(_feedback_json(spark, sf_dir)).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _feedback_json(spark, sf_dir):
     f = feedback_events(spark, sf_dir)
     full = F.to_json(F.struct("session_id", "user_id", "video_id", "action"))
     two = F.to_json(F.struct("session_id", "user_id"))
-    raw = f.select(F.when(F.col("action") == "view", two).otherwise(full).alias("value"))
-    return P.parse_feedback(raw).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return f.select(F.when(F.col("action") == "view", two).otherwise(full).alias("value"))
+
+
+LISTS = {"liked_songs": "like", "disliked_songs": "dislike", "skipped_songs": "skip", "replayed_songs": "replay"}
 
 
-@register("s16_merge_preferences", with_ctes(["feedback"], [("old", """
-        SELECT user_id, list(DISTINCT video_id) AS liked FROM feedback
-        WHERE action = 'like' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1"""), ("new", """
-        SELECT user_id, list(DISTINCT video_id) AS liked FROM feedback
-        WHERE action = 'like' AND ts >= TIMESTAMP '2024-01-15' GROUP BY 1""")], """
+def _lists_sql(when: str) -> str:
+    lists = ", ".join(f"coalesce(list(DISTINCT video_id) FILTER (WHERE action = '{a}'), []) AS {c}" for c, a in LISTS.items())
+    return f"SELECT user_id, {lists} FROM feedback WHERE ts {when} TIMESTAMP '2024-01-15' GROUP BY 1"
+
+
+@register("s16_merge_preferences", with_ctes(["feedback"], [("old", _lists_sql("<")), ("new", _lists_sql(">="))], f"""
     SELECT coalesce(o.user_id, n.user_id) AS user_id,
-           array_to_string(list_sort(list_distinct(list_concat(coalesce(o.liked, []), coalesce(n.liked, [])))), '|')
-             AS liked_songs
+           {", ".join(f"array_to_string(list_sort(list_distinct(list_concat(coalesce(o.{c}, []), coalesce(n.{c}, [])))), '|') AS {c}" for c in LISTS)}
     FROM old o FULL OUTER JOIN new n ON o.user_id = n.user_id"""))
 def s16_merge_preferences(spark, sf_dir):
-    f = feedback_events(spark, sf_dir).where(F.col("action") == "like")
-    empty = F.array().cast("array<string>")
-
-    def prefs(df):
-        return df.groupBy("user_id").agg(F.collect_set("video_id").alias("liked_songs")).select(
-            "user_id", "liked_songs", *[empty.alias(c) for c in ("disliked_songs", "skipped_songs", "replayed_songs")])
+    f = feedback_events(spark, sf_dir)
     cut = F.lit("2024-01-15").cast("timestamp")
-    merged = P.merge_preferences(prefs(f.where(F.col("ts") < cut)), prefs(f.where(F.col("ts") >= cut)))
-    return merged.select("user_id", F.array_join("liked_songs", "|").alias("liked_songs"))
+    merged = P.merge_preferences(session_preferences(f.where(F.col("ts") < cut)), session_preferences(f.where(F.col("ts") >= cut)))
+    return merged.select("user_id", *[F.array_join(c, "|").alias(c) for c in LISTS])
+
+
+@register("s15_history_rows", with_ctes(["feedback"], [], f"""
+    SELECT session_id, user_id, video_id, action, {SQL_WEIGHT} AS score_delta, CAST(ts AS VARCHAR) AS timestamp
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id, user_id, video_id ORDER BY ts DESC, action DESC) AS rn
+          FROM feedback) WHERE rn = 1"""))
+def s15_history_rows(spark, sf_dir):
+    """The latest actions, appended as history and read back."""
+    path = f"{scratch(spark)}/history"
+    append_history(T.latest_feedback(feedback_events(spark, sf_dir)), path)
+    h = spark.read.parquet(path)
+    return h.select(F.col("session_id").cast("string").alias("session_id"), "user_id", "video_id", "action", "score_delta", F.col("timestamp").cast("string").alias("timestamp"))
+
+
+@register("f3_feedback_rows", with_ctes(["feedback"], [], """
+    SELECT session_id, user_id, video_id, action, count(*) AS n FROM feedback WHERE action <> 'view' GROUP BY ALL"""))
+def f3_feedback_rows(spark, sf_dir):
+    """what the parsed events hold, session by session."""
+    return P.parse_feedback(_feedback_json(spark, sf_dir)).groupBy("session_id", "user_id", "video_id", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f5_music_rows", with_ctes(["music"], [], """
+    SELECT room_id, user_id, song_id, song_name, artist, action, CAST(ts AS VARCHAR) AS timestamp, count(*) AS n
+    FROM music WHERE NOT (event_type = 'error' AND value > 90) GROUP BY ALL"""))
+def f5_music_rows(spark, sf_dir):
+    cols = ["room_id", "user_id", "song_id", "song_name", "artist", "action", "timestamp"]
+    return P.parse_music_events(_music_json(spark, sf_dir)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f6_rejected_requests", with_ctes(["feedback"], [], """
+    SELECT session_id, e AS error, count(*) AS n FROM (
+      SELECT session_id, CASE WHEN event_id % 7 = 0 AND event_id % 5 = 0 THEN 'missing: user_id,video_id' WHEN event_id % 7 = 0 THEN 'missing: user_id'
+                  WHEN event_id % 5 = 0 THEN 'missing: video_id' WHEN action = 'view' THEN 'invalid action' END AS e FROM feedback)
+    WHERE e IS NOT NULL GROUP BY ALL"""))
+def f6_rejected_requests(spark, sf_dir):
+    f = feedback_events(spark, sf_dir)
+    f = f.withColumn("user_id", F.when(F.pmod("event_id", F.lit(7)) != 0, F.col("user_id"))).withColumn(
+        "video_id", F.when(F.pmod("event_id", F.lit(5)) == 0, "").otherwise(F.col("video_id")))
+    return f.select("session_id", P.feedback_request_error(f).alias("error")).where("error is not null").groupBy("session_id", "error").agg(F.count(F.lit(1)).alias("n"))

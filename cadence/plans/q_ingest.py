@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import scalars as S
 from cadence.operators import ingest as I
+from cadence.operators import songs as N
 from cadence.plans.adapters import Adapters, with_ctes
 from cadence.plans.ingest_adapters import raw_tracks
 from cadence.plans.q_recommend import r4, s4
@@ -50,6 +51,25 @@ def s4_invalid_records(spark, sf_dir):
         F.col("x.view_count").alias("views_text")).agg(F.count(F.lit(1)).alias("n")))
 
 
+@register("f1_routed_rows", with_ctes(["derived"], [], """
+    SELECT session_id, row_id, coalesce(error, 'valid') AS status, count(*) AS n FROM derived GROUP BY ALL"""))
+def f1_routed_rows(spark, sf_dir):
+    v = validated(spark, sf_dir)
+    return v.groupBy("session_id", "row_id", F.coalesce("error", F.lit("valid")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f2_tagged_rows", with_ctes(["derived"], [("t", """
+        SELECT session_id, row_id, concat_ws(',', CASE WHEN view_count = 0 THEN 'zero_views' END,
+               CASE WHEN like_count < 0 OR comment_count < 0 THEN 'negative_stats' END,
+               CASE WHEN genre IS NULL OR genre IN ('', 'Unknown') THEN 'unknown_genre' END,
+               CASE WHEN trim(track_title) = '' THEN 'empty_title' END, CASE WHEN trim(video_id) = '' THEN 'missing_video_id' END) AS tags
+        FROM derived WHERE error IS NULL""")], """
+    SELECT session_id, row_id, tags, count(*) AS n FROM t GROUP BY ALL"""))
+def f2_tagged_rows(spark, sf_dir):
+    v = validated(spark, sf_dir).where(F.col("error").isNull())
+    return v.groupBy("session_id", "row_id", F.array_join("anomalies", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("f2_anomaly_tags", with_ctes(["derived"], [("valid", "SELECT * FROM derived WHERE error IS NULL"), ("tags", """
         SELECT session_id, 'zero_views' AS tag FROM valid WHERE view_count = 0
         UNION ALL SELECT session_id, 'negative_stats' FROM valid WHERE like_count < 0 OR comment_count < 0
@@ -76,18 +96,17 @@ SQL_METADATA = ("metadata", """
         SELECT term, min(p_type) AS genre, 'US' AS country, min(p_brand) AS collection_name,
                CAST(min(p_partkey) AS VARCHAR) AS collection_id, max(p_brand) AS found_artist,
                CAST(max(p_partkey) * 1000 AS VARCHAR) AS found_millis
-        FROM (SELECT p_name || ' ' || p_brand AS term, p_type, p_brand, p_partkey FROM part WHERE p_size > 25
-              UNION ALL SELECT p_name AS term, p_type, p_brand, p_partkey FROM part WHERE p_size <= 10)
+        FROM (SELECT CASE WHEN p_size > 25 THEN p_name || ' ' || p_brand WHEN p_size <= 10 THEN p_name ELSE p_name || ' / ' || p_brand END AS term,
+                     p_type, p_brand, p_partkey FROM part)
         GROUP BY term""")
 
 
 def metadata_table(a: Adapters):
-    """J2 lookup table: what a metadata search returns per term (one row per term)."""
-    p = a.t.part
-    terms = (p.where(F.col("p_size") > 25)
-             .select(F.concat_ws(" ", "p_name", "p_brand").alias("term"), "p_type", "p_brand", "p_partkey")
-             .unionByName(p.where(F.col("p_size") <= 10)
-                          .select(F.col("p_name").alias("term"), "p_type", "p_brand", "p_partkey")))
+    """J2 lookup table: what a metadata search returns per term (one row per term). Every part has a
+    row: by title and artist, by title alone, or under a term that no track looks up."""
+    term = (F.when(F.col("p_size") > 25, F.concat_ws(" ", "p_name", "p_brand")).when(F.col("p_size") <= 10, F.col("p_name"))
+            .otherwise(F.concat_ws(" / ", "p_name", "p_brand")))
+    terms = a.t.part.select(term.alias("term"), "p_type", "p_brand", "p_partkey")
     return terms.groupBy("term").agg(F.min("p_type").alias("genre"), F.lit("US").alias("country"),
                                      F.min("p_brand").alias("collection_name"),
                                      F.min("p_partkey").cast("string").alias("collection_id"),
@@ -119,17 +138,17 @@ def j2_metadata_lookup(spark, sf_dir):
 
 
 @register("j1_video_stats", with_ctes(["raw_tracks"], [("stats", """
-        SELECT CAST(p_partkey AS VARCHAR) AS video_id, CAST(p_size * 100 AS BIGINT) AS view_count,
+        SELECT CASE WHEN p_size > 10 THEN '' ELSE 'x' END || p_partkey AS video_id, CAST(p_size * 100 AS BIGINT) AS view_count,
                CAST(p_size * 7 AS BIGINT) AS like_count, CAST(p_size AS BIGINT) AS comment_count
-        FROM part WHERE p_size > 10""")], """
+        FROM part""")], """
     SELECT r.session_id, CAST(sum(coalesce(s.view_count, 0)) AS BIGINT) AS views,
            CAST(sum(coalesce(s.like_count, 0)) AS BIGINT) AS likes,
            CAST(sum(coalesce(s.comment_count, 0)) AS BIGINT) AS comments, count(*) AS tracks
     FROM raw_tracks r LEFT JOIN stats s ON s.video_id = r.video_id GROUP BY r.session_id"""))
 def j1_video_stats(spark, sf_dir):
     a = Adapters(spark, sf_dir)
-    p = a.t.part.where(F.col("p_size") > 10)
-    stats = p.select(F.col("p_partkey").cast("string").alias("video_id"),
+    # the statistics of small parts are under ids that no track has
+    stats = a.t.part.select(F.concat(F.when(F.col("p_size") > 10, "").otherwise("x"), F.col("p_partkey").cast("string")).alias("video_id"),
                      (F.col("p_size") * 100).cast("long").alias("view_count"),
                      (F.col("p_size") * 7).cast("long").alias("like_count"),
                      F.col("p_size").cast("long").alias("comment_count"))
@@ -193,3 +212,40 @@ def p12_song_sentence(spark, sf_dir):
     p = preprocessed(spark, sf_dir)
     return p.select("session_id", "video_id",
                     S.song_sentence("track_title", "artist_name", "genre", "collection_name").alias("sentence"))
+
+
+SQL_NEW_SONGS = SQL_PRE[:1] + [
+    ("firsts", """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY src_order, src_line, src_part, src_supp) AS rn
+                       FROM valid WHERE video_id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)) WHERE rn = 1""")] + SQL_PRE[2:3] + [
+    ("ext", "SELECT min(v) AS v0, max(v) AS v1, min(l) AS l0, max(l) AS l1, min(c) AS c0, max(c) AS c1 FROM cleaned"),
+    ("pre", SQL_PRE[4][1].replace("JOIN ext USING (session_id)", "CROSS JOIN ext")),
+    ("tok", """
+        SELECT video_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 384 AS d,
+               CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1.0 ELSE -1.0 END AS x
+        FROM (SELECT video_id, unnest(string_split('title: ' || track_title || ' artist: ' || artist_name || ' genre: ' || genre || ' album: ' || collection_name, ' ')) AS t
+              FROM pre) WHERE t <> ''"""),
+    ("cell", "SELECT video_id, d, sum(x) AS x FROM tok GROUP BY ALL"),
+    ("len", "SELECT video_id, sqrt(sum(x * x)) AS n FROM cell GROUP BY 1"),
+    ("text", f"SELECT video_id, string_agg(d || ':' || printf('%.6f', x / n), ' ' ORDER BY d) AS vector FROM cell JOIN len USING (video_id) WHERE x <> 0 GROUP BY 1"),
+    ("mm", "SELECT min(duration_sec) AS d0, max(duration_sec) AS d1, min(popularity_score) AS p0, max(popularity_score) AS p1 FROM pre")]
+
+
+@register("p13_song_vectors", with_ctes(["derived"], SQL_NEW_SONGS, f"""
+    SELECT video_id, track_title, artist_name, genre, {s4('duration_sec')} AS duration_sec, {s4('popularity_score')} AS popularity_score, vector,
+           {s4('CASE WHEN d1 > d0 THEN (duration_sec - d0) / (d1 - d0) ELSE 0.0 END')} AS scaled_duration,
+           {s4('CASE WHEN p1 > p0 THEN (popularity_score - p0) / (p1 - p0) ELSE 0.0 END')} AS scaled_popularity, 386 AS width
+    FROM pre JOIN text USING (video_id) CROSS JOIN mm"""))
+def p13_song_vectors(spark, sf_dir):
+    """P13, P14 for the tracks whose song is not in the catalog; the vector's non-zero places as text."""
+    a = Adapters(spark, sf_dir)
+    catalog = a.t.embeddings.select(F.col("vec_id").cast("string").alias("video_id"))
+    tracks = validated(spark, sf_dir).where(F.col("error").isNull()).select(*I.COLUMNS, *ORDER)
+    fresh = tracks.join(catalog, "video_id", "left_anti").withColumn("batch", F.lit(0))
+    rows = N.new_song_rows(I.preprocess_songs(fresh, ORDER, "batch"), catalog)
+    e = F.col("embedding")
+    nonzero = F.filter(F.transform(F.slice(e, 1, N.TEXT_DIMS), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: c["x"] != 0)
+    text = F.array_join(F.transform(nonzero, lambda c: F.format_string("%d:%.6f", c["i"], c["x"])), " ")
+    return rows.select("video_id", "track_title", "artist_name", "genre", r4(F.col("duration_sec")).alias("duration_sec"),
+                       r4(F.col("popularity_score")).alias("popularity_score"), text.alias("vector"),
+                       r4(e[N.TEXT_DIMS]).alias("scaled_duration"), r4(e[N.TEXT_DIMS + 1]).alias("scaled_popularity"), F.size(e).alias("width"))

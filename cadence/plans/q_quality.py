@@ -56,47 +56,58 @@ def a2_a3_slice_stats(spark, sf_dir):
                      F.array_join("underrepresented", "|").alias("underrepresented"))
 
 
-@register("a4_cross_slice", with_ctes(["derived"], VALID + [("x", """
+SQL_CROSS = [
+    ("la", "SELECT session_id, label AS a_label, count AS row_n FROM counts WHERE slice = 'genre'"),
+    ("lb", "SELECT session_id, label AS b_label FROM counts WHERE slice = 'country'"),
+    ("x", """
         SELECT session_id, coalesce(genre, 'Unknown') AS a_label, coalesce(country, 'Unknown') AS b_label,
-               count(*) AS n FROM valid GROUP BY ALL""")], """
-    SELECT session_id, 'genre_x_country' AS pair, a_label, b_label,
-           round(n / sum(n) OVER (PARTITION BY session_id, a_label), 4) AS share FROM x"""))
+               count(*) AS n FROM valid GROUP BY ALL"""),
+    ("grid", f"""
+        SELECT la.session_id, a_label, b_label, {s4('coalesce(n, 0) / row_n')} AS share
+        FROM la JOIN lb USING (session_id) LEFT JOIN x USING (session_id, a_label, b_label)""")]
+
+
+@register("a4_cross_slice", with_ctes(["derived"], LABELS + SQL_CROSS, """
+    SELECT session_id, 'genre_x_country' AS pair, a_label, b_label, share FROM grid"""))
 def a4_cross_slice(spark, sf_dir):
     return Q.cross_slice(valid(spark, sf_dir), "genre", "country")
 
 
-@register("a5_bias_summary", with_ctes(["derived"], LABELS, """
-    SELECT n.session_id, n.record_count, coalesce(f.flags, '') AS overall_bias_flags
-    FROM (SELECT session_id, count(*) AS record_count FROM valid GROUP BY 1) n
-    LEFT JOIN (SELECT session_id, string_agg(slice, '|' ORDER BY slice) AS flags FROM (
-                 SELECT session_id, slice FROM counts_t GROUP BY session_id, slice
-                 HAVING max(count) / max(total) > 0.6) GROUP BY 1) f USING (session_id)"""))
+@register("a5_bias_summary", with_ctes(["derived"], LABELS + SQL_CROSS + [("st", """
+        SELECT session_id, slice, sum(count) AS total, count(*) AS label_count, max(count) / sum(count) AS share FROM counts GROUP BY ALL""")], """
+    SELECT session_id, CAST(max(total) AS BIGINT) AS record_count,
+           coalesce(string_agg(CASE WHEN share > 0.6 THEN slice END, '|' ORDER BY slice), '') AS overall_bias_flags,
+           string_agg(slice || ':' || label_count || ':' || printf('%.4f', round(share, 4)), '|' ORDER BY slice) AS slices,
+           max(cells) AS cross_slices
+    FROM st JOIN (SELECT session_id, string_agg(a_label || '/' || b_label || '=' || printf('%.4f', share), '|' ORDER BY a_label, b_label) AS cells
+                  FROM grid GROUP BY 1) USING (session_id) GROUP BY session_id"""))
 def a5_bias_summary(spark, sf_dir):
     b = Q.bias_summary(valid(spark, sf_dir), SLICES)
-    return b.select("session_id", "record_count", F.array_join("overall_bias_flags", "|").alias("overall_bias_flags"))
+    slices = F.transform("slices", lambda x: F.format_string("%s:%d:%.4f", x["slice"], x["label_count"], x["dominant_share"]))
+    cells = F.transform(F.flatten(F.transform("cross_slices", lambda x: x["cells"])), lambda c: F.format_string("%s/%s=%.4f", c["a_label"], c["b_label"], c["share"]))
+    return b.select("session_id", "record_count", F.array_join("overall_bias_flags", "|").alias("overall_bias_flags"),
+                    F.array_join(slices, "|").alias("slices"), F.array_join(cells, "|").alias("cross_slices"))
 
 
-NUMERIC = ["trackTimeMillis", "view_count", "like_count", "like_to_view_ratio"]
+NUMERIC = [c for c, (_, numeric, _, _) in Q.EXPECTED_SCHEMA.items() if numeric]
 
 
 def _profile_sql():
     parts = []
-    for c in NUMERIC:
+    for c in I.COLUMNS:
         x = f"CAST({c} AS DOUBLE)"
+        numbers = {"mean": f"avg({x})", "std": f"stddev_samp({x})", "min": f"min({x})", "max": f"max({x})",
+                   "p25": f"quantile_cont({x}, 0.25)", "p75": f"quantile_cont({x}, 0.75)"}
+        stats = ", ".join(f"{s4(e) if c in NUMERIC else 'CAST(NULL AS DOUBLE)'} AS {n}" for n, e in numbers.items())
         parts.append(f"""SELECT session_id, '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing_count,
                round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 2) AS missing_pct,
-               count(DISTINCT {c}) AS unique_count, {s4(f'avg({x})')} AS mean, {s4(f'stddev_samp({x})')} AS std,
-               {s4(f'min({x})')} AS min, {s4(f'max({x})')} AS max,
-               {s4(f'quantile_cont({x}, 0.25)')} AS p25, {s4(f'quantile_cont({x}, 0.75)')} AS p75
-               FROM valid GROUP BY session_id""")
+               count(DISTINCT {c}) AS unique_count, {stats} FROM valid GROUP BY session_id""")
     return " UNION ALL ".join(parts)
 
 
 @register("a6_column_profile", with_ctes(["derived"], VALID, _profile_sql()))
 def a6_column_profile(spark, sf_dir):
-    p = Q.column_profile(valid(spark, sf_dir), NUMERIC, set(NUMERIC))
-    return p.select("session_id", "column", "missing_count", "missing_pct", "unique_count",
-                    *[r4(F.col(c)).alias(c) for c in ("mean", "std", "min", "max", "p25", "p75")])
+    return Q.column_profile(valid(spark, sf_dir).select("session_id", *I.COLUMNS), I.COLUMNS, set(NUMERIC))
 
 
 def _violations_sql():

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from cadence.functions import vectors as V
 from cadence.operators import recommend as R
+from cadence.operators.nearest import MetricIndex
 from cadence.operators import prefs as P
+from cadence.operators import sinks
+from cadence.operators.snapshots import recommendation_snapshots
 from cadence.plans.adapters import Adapters, with_ctes
 from cadence.plans.registry import register
-from cadence.session import materialise
+from cadence.session import materialise, scratch
 
 
 def r4(c):
@@ -38,13 +41,13 @@ class SessionInputs:
         keep = materialise if write else (lambda df, name: df)
         self.a = a
         self.keep = keep
+        self._songs = None
         self.catalog = keep(a.catalog(), "catalog")
         self.members = a.members()
         self.likes = keep(a.likes(), "likes")
         self.dislikes = a.dislikes()
         self.playlist = keep(a.playlist(), "playlist")
-        self.plays = keep(a.plays(), "plays")
-        self.played = self.plays.select("session_id", "video_id").distinct()
+        self.played = a.played()
         self.liked = keep(R.session_likes(self.members, self.likes, self.catalog, self.playlist), "liked")
         self.disliked = R.session_dislikes(self.members, self.dislikes)
         self.excluded = keep(R.exclusions(self.liked, self.disliked, self.played), "excluded")
@@ -58,7 +61,13 @@ class SessionInputs:
         return self.keep(R.with_fallback_vector(self.members, R.group_vectors(self.user_vectors()), self.catalog), "group-vectors")
 
     def cbf(self, k: int = R.TOP_N) -> DataFrame:
-        return self.keep(R.cbf_scores(self.group_vectors(), self.excluded, self.session_scores, self.catalog, k), "cbf")
+        return self.keep(R.cbf_scores(self.group_vectors(), self.excluded, self.session_scores, self.songs(), k), "cbf")
+
+    def songs(self) -> MetricIndex:
+        """The index of the catalog, built once per cycle."""
+        if self._songs is None:
+            self._songs = MetricIndex(self.catalog)
+        return self._songs
 
     def index(self):
         return self.keep(R.cooccurrence_index(self.likes), "cooccurrence"), self.keep(R.popularity(self.likes), "popularity")
@@ -67,7 +76,7 @@ class SessionInputs:
         """R4 input: the default sequence model's predicted vector per active session."""
         from cadence.operators.sequences import recent_mean_model
         st = self.a.session_state()
-        return recent_mean_model(self.plays, self.catalog, st)
+        return recent_mean_model(self.a.plays(), self.catalog, st)
 
 
 SQL_SESSION = [
@@ -195,7 +204,7 @@ def j6_cooccurrence_pairs_min2(spark, sf_dir):
 # ---------------------------------------------------------------------------------------
 
 def _cf_query(spark, sf_dir):
-    si = SessionInputs(spark, sf_dir)
+    si = SessionInputs(spark, sf_dir, write=True)
     idx, pop = si.index()
     cf = R.cf_cooccurrence_scores(si.liked, idx, pop, si.played, si.playlist, catalog=si.catalog)
     w = Window.partitionBy("session_id").orderBy(F.desc("cf_score"), "video_id")
@@ -209,6 +218,31 @@ register("r2_cf_scores", with_ctes(_BASE, SQL_SESSION[:2] + SQL_INDEX + SQL_CF,
     FROM cf"""))(_cf_query)
 
 
+@register("r2_cf_topn", with_ctes(_BASE, SQL_SESSION[:2] + SQL_INDEX + SQL_CF + [("cand", """
+        SELECT s.session_id, c.video_id, coalesce(cf.cf_score, 0.0) AS cf_score
+        FROM (SELECT DISTINCT session_id FROM seeds) s CROSS JOIN catalog c LEFT JOIN cf USING (session_id, video_id)
+        WHERE NOT EXISTS (SELECT 1 FROM played x WHERE x.session_id = s.session_id AND x.video_id = c.video_id)""")], f"""
+    SELECT session_id, video_id, {s4('cf_score')} AS cf_score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY cf_score DESC, video_id) AS rank FROM cand) WHERE rank <= 30"""))
+def r2_cf_topn(spark, sf_dir):
+    si = SessionInputs(spark, sf_dir, write=True)
+    idx, pop = si.index()
+    cf = R.cf_cooccurrence_scores(si.liked, idx, pop, si.played, si.playlist, catalog=si.catalog)
+    top = R.cf_top_n(cf, si.liked, si.played, si.catalog)
+    return top.select("session_id", "video_id", r4(F.col("cf_score")).alias("cf_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("f12_dropped_likes", with_ctes(["ncat", "members"], [("raw_likes", """
+        SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS user_id, l_partkey AS video_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")], """
+    SELECT session_id, count(*) FILTER (WHERE video_id < (SELECT n FROM ncat)) AS kept, count(*) FILTER (WHERE video_id >= (SELECT n FROM ncat)) AS dropped
+    FROM (SELECT m.session_id, m.user_id, l.video_id FROM members m JOIN raw_likes l USING (user_id)) GROUP BY 1"""))
+def f12_dropped_likes(spark, sf_dir):
+    """Likes by part, of which the catalog holds those below its size."""
+    a = Adapters(spark, sf_dir)
+    likes = a._order_lines().select(F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").alias("video_id"))
+    return R.dropped_likes(a.members(), likes, a.catalog())
+
+
 # ---------------------------------------------------------------------------------------
 # A13 / A14 / A15 vectors (reported as norm check + element sum + first element)
 # ---------------------------------------------------------------------------------------
@@ -216,6 +250,7 @@ register("r2_cf_scores", with_ctes(_BASE, SQL_SESSION[:2] + SQL_INDEX + SQL_CF,
 def _vec_summary(df: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     v = F.col("vector")
     return df.select(*keys, *extra,
+                     F.array_join(F.transform(v, lambda x: F.format_string("%.4f", x)), " ").alias("vector"),
                      r4(V.norm(v)).alias("vec_norm"),
                      r4(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
                      r4(F.element_at(v, 1)).alias("vec_first"))
@@ -223,7 +258,8 @@ def _vec_summary(df: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
 
 @register("a13_user_vectors", with_ctes(_BASE, SQL_SESSION[:2] + SQL_VECTORS[:6], f"""
     SELECT d.session_id, d.user_id, n.liked_count, {s4('sqrt(sum(d.v * d.v))')} AS vec_norm,
-           {s4('sum(d.v)')} AS vec_sum, {s4('max(CASE WHEN d.i = 1 THEN d.v END)')} AS vec_first
+           {s4('sum(d.v)')} AS vec_sum, {s4('max(CASE WHEN d.i = 1 THEN d.v END)')} AS vec_first,
+           string_agg(printf('%.4f', d.v), ' ' ORDER BY d.i) AS vector
     FROM uvec_d d JOIN liked_n n USING (session_id, user_id) GROUP BY d.session_id, d.user_id, n.liked_count"""))
 def a13_user_vectors(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
@@ -233,7 +269,8 @@ def a13_user_vectors(spark, sf_dir):
 
 @register("a14_group_vectors", with_ctes(_BASE, SQL_SESSION[:2] + SQL_VECTORS, f"""
     SELECT session_id, {s4('sqrt(list_sum(list_transform(vector, lambda x: x * x)))')} AS vec_norm,
-           {s4('list_sum(vector)')} AS vec_sum, {s4('vector[1]')} AS vec_first FROM svec"""))
+           {s4('list_sum(vector)')} AS vec_sum, {s4('vector[1]')} AS vec_first,
+           array_to_string(list_transform(vector, lambda x: printf('%.4f', x)), ' ') AS vector FROM svec"""))
 def a14_group_vectors(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
     return _vec_summary(si.group_vectors(), ["session_id"], [])
@@ -260,6 +297,11 @@ def j3_exclusion_set(spark, sf_dir):
     return si.excluded.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_excluded"))
 
 
+@register("j3_exclusion_rows", with_ctes(_BASE, SQL_SESSION[:3], "SELECT session_id, video_id FROM excl"))
+def j3_exclusion_rows(spark, sf_dir):
+    return SessionInputs(spark, sf_dir).excluded.select("session_id", "video_id")
+
+
 @register("w9_session_score_norm", with_ctes(["votes"], SQL_SESSION[3:5], f"""
     SELECT session_id, video_id, {s4('session_score')} AS session_score FROM sscore"""))
 def w9_session_score_norm(spark, sf_dir):
@@ -307,14 +349,9 @@ SQL_PRED = [
     WHERE rank <= 30"""))
 def r4_sequence_scores_topn(spark, sf_dir):
     si = SessionInputs(spark, sf_dir)
-    pred = si.predicted()
-    n_pl = si.played.groupBy("session_id").agg(F.count(F.lit(1)).alias("k_extra"))
-    q = pred.join(n_pl, "session_id", "left").fillna(0, ["k_extra"])
-    top = (R.topk_cosine(q, si.catalog, R.TOP_N)
-           .join(si.played, ["session_id", "video_id"], "left_anti"))
-    return R.top_n(top.withColumnRenamed("score", "gru_score").drop("_r"), "gru_score").select(
-        "session_id", "video_id", r4(F.col("gru_score")).alias("gru_score"),
-        F.col("rank").cast("long").alias("rank"))
+    played = si.played.select("session_id", "video_id", F.lit(True).alias("excluded"), F.lit(0.0).alias("bonus"))
+    top = si.songs().top_items(si.predicted(), R.TOP_N, played)
+    return top.select("session_id", "video_id", r4(F.col("score")).alias("gru_score"), F.col("rank").cast("long").alias("rank"))
 
 
 def recommend_cycle(spark, sf_dir) -> DataFrame:
@@ -382,3 +419,25 @@ def r8_recommend_cycle(spark, sf_dir):
                       *[r4(F.col(c)).alias(c) for c in
                         ("cbf_score", "cf_score", "gru_score", "session_score", "final_score", "gru_weight")],
                       "gru_active")
+
+
+@register("s18_recommendation_snapshots", with_ctes(_BASE + ["plays", "session_state"],
+                                                    SQL_SESSION + SQL_VECTORS + SQL_CBF + SQL_INDEX + SQL_CF + SQL_PRED + SQL_HYBRID + [
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY final_score DESC, video_id) AS rank FROM final"),
+    ("w", """SELECT session_id, any_value(gru_active) AS a, any_value(gru_weight) AS g FROM ranked GROUP BY 1""")], f"""
+    SELECT r.session_id, CASE WHEN NOT a THEN 'cold_start' WHEN g = 0.2 THEN 'gru_soft_entry' WHEN g = 0.25 THEN 'gru_growing' ELSE 'full_hybrid' END AS phase,
+           CASE WHEN NOT a OR g = 0 THEN 0.6 ELSE {s4('0.4 / (0.7 + g)')} END::DOUBLE AS weight_cbf,
+           CASE WHEN NOT a OR g = 0 THEN 0.4 ELSE {s4('0.3 / (0.7 + g)')} END::DOUBLE AS weight_cf,
+           CASE WHEN NOT a OR g = 0 THEN 0.0 ELSE {s4('g / (0.7 + g)')} END::DOUBLE AS weight_gru,
+           string_agg(rank || ':' || video_id || ':' || genre, ' ' ORDER BY rank) AS songs, {s4('sum(round(final_score, 4))')} AS score_sum
+    FROM ranked r JOIN w USING (session_id) WHERE rank <= 30 GROUP BY r.session_id, a, g"""))
+def s18_recommendation_snapshots(spark, sf_dir):
+    """The cycle's lists replace the sessions' lists, their snapshots are appended; read back."""
+    out = materialise(recommend_cycle(spark, sf_dir), "recommendations")
+    path = scratch(spark, "snapshots")
+    sinks.replace_lists(out, f"{path}/lists")
+    sinks.append_events(recommendation_snapshots(out), f"{path}/recommendations")
+    snap = spark.read.parquet(f"{path}/recommendations")
+    songs = F.array_join(F.transform("songs", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["video_id"], x["genre"])), " ")
+    return snap.select("session_id", "phase", *[F.col(f"weights.{w}").alias(f"weight_{w}") for w in ("cbf", "cf", "gru")], songs.alias("songs"),
+                       r4(F.aggregate("songs", F.lit(0.0), lambda a, x: a + x["final_score"])).alias("score_sum"))

@@ -90,12 +90,12 @@ def sessions(a: Adapters):
 
 
 @register("a25_session_state", with_ctes(["ncat", "catalog", "plays", "votes"], SNAP[:1] + SESS + [
-    ("pl", "SELECT session_id, count(*) AS n FROM plays WHERE session_id % 3 > 0 GROUP BY 1"),
+    ("pl", "SELECT session_id, count(*) AS n FROM plays GROUP BY 1"),
     ("fb", """SELECT session_id, count(*) FILTER (WHERE action = 'like') AS n_like, count(*) FILTER (WHERE action = 'dislike') AS n_dislike,
                      count(*) FILTER (WHERE action = 'skip') AS n_skip, count(*) FILTER (WHERE action = 'replay') AS n_replay,
                      count(*) FILTER (WHERE action = 'pause') AS n_neutral
               FROM (SELECT session_id, CASE WHEN action = 'skip' AND video_id % 2 = 0 THEN 'pause' ELSE action END AS action FROM votes) GROUP BY 1"""),
-    ("ph", "SELECT session_id, max_by(phase, ts_ms) AS phase FROM snap WHERE session_id % 5 > 0 GROUP BY 1")], """
+    ("ph", "SELECT session_id, max_by(phase, ts_ms) AS phase FROM snap GROUP BY 1")], """
     SELECT session_id, status, CAST(coalesce(nullif(n_users, 0), user_count, 0) AS BIGINT) AS user_count,
            CAST(coalesce(nullif(pl.n, 0), nullif(songs_played_count, 0), last_refreshed_at, 0) AS BIGINT) AS songs_played,
            coalesce(n_like, 0) AS n_like, coalesce(n_dislike, 0) AS n_dislike, coalesce(n_skip, 0) AS n_skip,
@@ -104,7 +104,7 @@ def sessions(a: Adapters):
 def a25_session_state(spark, sf_dir):
     a = Adapters(spark, sf_dir)
     fb = a.votes().withColumn("action", F.when((F.col("action") == "skip") & (F.pmod("video_id", F.lit(2)) == 0), "pause").otherwise(F.col("action")))
-    return S.session_state(sessions(a), a.plays().where("session_id % 3 > 0"), fb, snapshots(a).where("session_id % 5 > 0"))
+    return S.session_state(sessions(a), a.plays(), fb, snapshots(a))
 
 
 @register("a29_song_reactions", with_ctes(["votes"], [], """

@@ -68,6 +68,11 @@ def materialise(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

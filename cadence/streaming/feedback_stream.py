@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import scalars as S
 from cadence.operators import prefs as P
+from cadence.streaming.results import Results, newest
 
 # Fixed values of the reference's stream (params file): window, lateness, refresh cadence.
 WINDOW = "60 seconds"
@@ -66,7 +67,7 @@ def music_to_feedback(events: DataFrame) -> DataFrame:
 
 def score_state(feedback: DataFrame) -> DataFrame:
     """Running score and per-action counters per (session_id, video_id)."""
-    return P.track_scores(P.with_feedback_weight(feedback))
+    return P.track_scores(P.with_feedback_weight(feedback), "ts" if "ts" in feedback.columns else None)
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
@@ -121,17 +122,15 @@ def versioned_upsert(path: str, keys: list[str]):
     ``path/batch_id=N`` (overwritten if the batch is replayed, so at-least-once delivery is
     idempotent); ``read_current`` keeps the newest version per key."""
     def write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}"))
+        Results(path, newest(keys)).write(batch, batch_id)
     write.keys = keys
     return write
 
 
 def read_current(spark, path: str, keys: list[str]) -> DataFrame:
-    """Current state of a versioned-upsert table: newest batch per key."""
-    v = spark.read.parquet(path)
-    cols = [c for c in v.columns if c not in keys and c != "batch_id"]
-    return (v.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r")).select(*keys, "_r.*"))
+    """Current state of a versioned-upsert table: the newest batch per key, from the base that
+    ``results`` has compacted and the later versions."""
+    return Results(path, newest(keys)).current(spark)
 
 
 def start_metrics_stream(events_stream: DataFrame, out_path: str, checkpoint: str,
@@ -152,7 +151,8 @@ def start_archive_stream(events_stream: DataFrame, out_path: str, checkpoint: st
 
 
 def start_score_stream(events_stream: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
-    """Running score state per (session, video) in update mode, versioned upsert."""
+    """Running score state per (session, video) in update mode, versioned upsert. Its state is kept
+    for good; see ``expiring`` for the form whose state ends with a silent session."""
     s = score_state(music_to_feedback(events_stream))
     return (s.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
