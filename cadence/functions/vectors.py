@@ -7,9 +7,12 @@ so no group is ever collected into one list.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +53,36 @@ def vector_mean(c: Column | str, weight: Column | str | None = None) -> Column:
         return vector_to_array(Summarizer.mean(vec))
     w = F.col(weight) if isinstance(weight, str) else weight
     return vector_to_array(Summarizer.mean(vec, w.cast("double")))
+
+
+# ---- vectors as bytes ------------------------------------------------------------------
+# Rows with an array column are slow to hand to Python (the size of the growing batch is worked out
+# anew for every row), so vectors that travel with many rows are packed once.
+
+def packed(df: DataFrame, column: str, dtype: str = "float64") -> DataFrame:
+    """``df`` with an array of numbers as the bytes of its values; null stays null."""
+    names = df.columns
+    at = names.index(column)
+    schema = ", ".join(f"`{c}` {'binary' if c == column else t}" for c, t in df.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(at)
+            flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(dtype)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()) * flat.itemsize
+            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+            valid = pc.is_valid(lists)
+            out = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, offsets, pa.py_buffer(flat.tobytes())])
+            out = pc.if_else(valid, out, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(batch.columns)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dtype: str = "float64") -> np.ndarray:
+    """Packed vectors of one length, none of them null, as the rows of a matrix."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(a):
+        return np.zeros((0, 1), dtype)
+    ends = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4)
+    return np.frombuffer(a.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0])).view(dtype).reshape(len(a), -1)

@@ -25,6 +25,7 @@ from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.functions import vectors as V
 from cadence.session import materialise
 
 CHUNK_SONGS = 20_000       # songs that a task holds, on average
@@ -43,11 +44,8 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Equally long lists as the rows of a matrix of unit vectors."""
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(a):
-        return np.zeros((0, 1))
-    return unit_rows(pc.list_flatten(a).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1))
+    """Packed vectors as the rows of a matrix of unit vectors."""
+    return unit_rows(V.matrix(column))
 
 
 def clusters_of(rows: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
@@ -85,6 +83,7 @@ class MetricIndex:
 
     def __init__(self, catalog: DataFrame, chunk_songs: int = CHUNK_SONGS, fine_songs: int = FINE_SONGS, fit_songs: int = FIT_SONGS):
         base = catalog.select("video_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+        base = materialise(V.packed(base, "embedding"), "packed-songs")
         self.size = base.count()
         self.fine_songs = fine_songs
         self.n_coarse = min(MAX_COARSE, -(-self.size // chunk_songs), fit_songs) or 1
@@ -105,7 +104,7 @@ class MetricIndex:
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of), pa.array(sims[np.arange(len(of)), of])],
                                                      ["video_id", "embedding", "coarse", "near"])
 
-            placed = materialise(base.mapInArrow(place, f"video_id {self.id_type}, embedding array<double>, coarse int, near double"), "placed-songs")
+            placed = materialise(base.mapInArrow(place, f"video_id {self.id_type}, embedding binary, coarse int, near double"), "placed-songs")
             stats = {r.coarse: r for r in placed.groupBy("coarse").agg(F.count("*").alias("n"), F.min("near").alias("least")).collect()}
             self.counts = np.array([stats[i].n if i in stats else 0 for i in range(self.n_coarse)])
             self.least = np.array([stats[i].least - SLACK if i in stats else 1.0 for i in range(self.n_coarse)])
@@ -123,18 +122,20 @@ class MetricIndex:
         ``sessions(session_id, vector)`` with the highest ``total`` = cosine + ``weight`` * bonus, ties by id.
 
         ``marks(session_id, video_id, excluded, bonus)``: songs that are left out, or whose cosine is
-        raised or lowered. Ids are of any orderable type."""
+        raised or lowered. Of several marks of a song one that excludes it wins, and bonuses add up;
+        marks need not be distinct. Ids are of any orderable type."""
         q = sessions.select("session_id", F.col("vector").cast("array<double>").alias("vector"))
         s_type = q.schema["session_id"].dataType.simpleString()
-        n_blocks = q.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_sessions)), F.lit(1)).cast("int")).scalar()
+        q = V.packed(q, "vector")
+        n_blocks = sessions.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_sessions)), F.lit(1)).cast("int")).scalar()
         block = F.pmod(F.xxhash64("session_id"), n_blocks).cast("int")
         if marks is None:
             marks = q.select("session_id", F.lit(None).cast(self.id_type).alias("video_id"), F.lit(True).alias("excluded"), F.lit(0.0).alias("bonus")).where(F.lit(False))
-        marks = marks.join(self.songs.select("video_id", "coarse", "part"), "video_id")
-        # several marks of a song: one that excludes it wins, bonuses add up
-        marks = marks.groupBy("session_id", "video_id").agg(
-            F.max("excluded").alias("excluded"), F.sum(F.coalesce("bonus", F.lit(0.0))).alias("bonus"),
-            F.first("coarse").alias("coarse"), F.first("part").alias("part"))
+        marks = marks.select("session_id", "video_id", F.coalesce("excluded", F.lit(False)).alias("excluded"), F.coalesce("bonus", F.lit(0.0)).alias("bonus"))
+        if self.n_coarse == 1:       # one place for all songs: nothing to look up
+            marks = marks.withColumn("coarse", F.lit(0)).withColumn("part", F.lit(0))
+        else:
+            marks = marks.join(self.songs.select("video_id", "coarse", "part"), "video_id")
 
         def search(visits: DataFrame, marked: DataFrame) -> DataFrame:
             return self._search(visits, marked, block, n_blocks, _cell_fn(k, weight, self.fine_songs, scored), s_type)
@@ -145,7 +146,7 @@ class MetricIndex:
         marks = materialise(marks, "marked-songs")
         need = q.join(marks.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "left").select(
             "session_id", "vector", (F.coalesce("n", F.lit(0)) + k).alias("need"))
-        first = need.withColumn("floor", F.lit(-2.0)).mapInArrow(self._route(False), f"session_id {s_type}, vector array<double>, coarse int, floor double")
+        first = need.withColumn("floor", F.lit(-2.0)).mapInArrow(self._route(False), f"session_id {s_type}, vector binary, coarse int, floor double")
         # songs with a bonus are scored wherever they are; their clusters are scanned only if visited
         raised = marks.where(~F.col("excluded")).select("session_id", "coarse").distinct().join(q, "session_id")
         visits = first.select("session_id", "vector", "coarse", "floor", F.lit(True).alias("scan"))
@@ -153,7 +154,8 @@ class MetricIndex:
         found = materialise(search(visits, marks), "first-visits")
         floor = _ranked(found, k).where(F.col("rank") == k).select("session_id", F.col("total").alias("floor"))
         again = need.join(floor, "session_id", "left").select("session_id", "vector", "need", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-        rest = again.mapInArrow(self._route(True), f"session_id {s_type}, vector array<double>, coarse int, floor double")
+        rest = again.mapInArrow(self._route(True), f"session_id {s_type}, vector binary, coarse int, floor double")
+        # every marked song was excluded or scored before
         no_bonus = marks.select("session_id", "video_id", F.lit(True).alias("excluded"), F.lit(0.0).alias("bonus"), "coarse", "part")
         more = search(rest.withColumn("scan", F.lit(True)), no_bonus)
         return _ranked(found.unionByName(more), k)
@@ -182,14 +184,15 @@ class MetricIndex:
         """Top lists of every (coarse cluster, part, block of sessions)."""
         parts = F.array(*[F.lit(int(n)) for n in self.parts])
         spread = visits.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("coarse")] - 1)))
-        cells = ["coarse", "part", "block"]
-        left = spread.select("session_id", "vector", "floor", "scan", F.lit(None).cast(self.id_type).alias("video_id"),
-                             F.lit(None).cast("boolean").alias("excluded"), F.lit(None).cast("double").alias("bonus"), "coarse", "part", block.alias("block"))
-        left = left.unionByName(marks.select("session_id", F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("floor"),
-                                             F.lit(None).cast("boolean").alias("scan"), "video_id", "excluded", "bonus", "coarse", "part", block.alias("block")))
-        right = self.songs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        # one number names a cell: a single key is sorted by radix
+        of = lambda block: ((F.col("coarse") * int(self.parts.max()) + F.col("part")) * n_blocks.cast("long") + block).alias("cell")
+        left = spread.select(of(block), "session_id", "vector", "floor", "scan", F.lit(None).cast(self.id_type).alias("video_id"),
+                             F.lit(None).cast("boolean").alias("excluded"), F.lit(None).cast("double").alias("bonus"))
+        left = left.unionByName(marks.select(of(block), "session_id", F.lit(None).cast("binary").alias("vector"), F.lit(None).cast("double").alias("floor"),
+                                             F.lit(None).cast("boolean").alias("scan"), "video_id", "excluded", "bonus"))
+        right = self.songs.select("*", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")).select(of(F.col("block")), "video_id", "embedding")
         out = f"session_id {s_type}, video_id {self.id_type}, score double, bonus double, total double"
-        return left.groupBy(cells).cogroup(right.groupBy(cells)).applyInArrow(cell, out)
+        return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(cell, out)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -221,8 +224,11 @@ def _cell_fn(k: int, weight: float, fine_songs: int, scored: Accumulator | None)
         gi, gj, gs, work = _scan(qv[scan], floor[scan], iv, mi, mj, k, fine_songs)
         if scored is not None:
             scored.add(work)
-        raised = ~excluded
-        bi, bj, bb = mi[raised], mj[raised], bonus[raised]
+        # one entry per marked pair: excluded if any mark says so, else the sum of its bonuses
+        pair = mi * len(iv) + mj
+        out_of = np.isin(pair, pair[excluded])
+        raised, at = np.unique(pair[~out_of], return_inverse=True)
+        bi, bj, bb = raised // len(iv), raised % len(iv), np.bincount(at, bonus[~out_of], len(raised))
         bs = np.round(np.einsum("ij,ij->i", qv[bi], iv[bj]), DECIMALS)
         i, j, s = np.concatenate([gi, bi]), np.concatenate([gj, bj]), np.concatenate([gs, bs])
         extra = np.concatenate([np.zeros(len(gi)), bb])

@@ -94,9 +94,10 @@ def session_likes(members: DataFrame, likes: DataFrame, catalog: DataFrame,
                   playlist: DataFrame | None = None) -> DataFrame:
     """S13 + F12 + U5: (session_id, user_id, video_id) liked by active members, catalog-filtered,
     plus the session playlist as pseudo-user ``_session_playlist`` (D32)."""
-    liked = (members.select("session_id", "user_id")
-             .join(in_catalog(likes.select("user_id", "video_id"), catalog), "user_id")
-             .distinct())
+    # distinct sides give distinct pairs; the pairs of a session are many more than its members
+    liked = (members.select("session_id", "user_id").distinct()
+             .join(in_catalog(likes.select("user_id", "video_id").distinct(), catalog), "user_id")
+             .select("session_id", "user_id", "video_id"))
     if playlist is not None:
         liked = liked.unionByName(
             playlist.select("session_id", F.lit(SESSION_PLAYLIST_USER).alias("user_id"), "video_id")
@@ -106,8 +107,8 @@ def session_likes(members: DataFrame, likes: DataFrame, catalog: DataFrame,
 
 def session_dislikes(members: DataFrame, dislikes: DataFrame) -> DataFrame:
     """(session_id, user_id, video_id) disliked by active members (not catalog-filtered, D32)."""
-    return (members.select("session_id", "user_id")
-            .join(dislikes.select("user_id", "video_id"), "user_id").distinct())
+    return (members.select("session_id", "user_id").distinct()
+            .join(dislikes.select("user_id", "video_id").distinct(), "user_id").select("session_id", "user_id", "video_id"))
 
 
 def exclusions(liked: DataFrame, disliked: DataFrame, played: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def cbf_scores(vectors: DataFrame, excluded: DataFrame, session_scores: DataFram
     """Per session top-k of cbf_score + 0.3·session_score over catalog minus exclusions.
 
     Excluded and feedback-nudged songs are marks of the index search, so no session hands on more
-    than k rows. ``catalog``: the songs, or an index of them that several searches share.
+    than k rows; ``excluded`` need not be distinct. ``catalog``: the songs, or an index of them that several searches share.
     Output: session_id, video_id, cbf_score, session_score, final_score, rank.
     """
     index = catalog if isinstance(catalog, MetricIndex) else MetricIndex(catalog)

@@ -113,7 +113,7 @@ def prefix_tensors(plays: DataFrame, catalog: DataFrame, unknown: str = "stop",
     Plays go to their bucket of ``n`` numbers and to the next one, as in ``prefix_samples``; a sorted
     partition is then assembled as Arrow arrays. A sample never leaves its bucket, so a session with a
     third of all plays spreads over tasks, and a batch holds a bounded number of samples."""
-    emb = catalog.select("video_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    emb = V.packed(catalog.select("video_id", F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null"), "embedding", "float32")
     p = usable_plays(plays, catalog, unknown).withColumn("_b", F.expr(f"(play_order - 1) div {n}"))
     placed = p.withColumn("bucket", F.explode(F.array(F.col("_b"), F.col("_b") + 1))).withColumn("own", F.col("bucket") == F.col("_b"))
     rows = placed.join(emb, "video_id").select("session_id", "bucket", "play_order", "own", "video_id", F.col("liked_flag").cast("float").alias("liked"), "embedding")
@@ -138,7 +138,7 @@ def _assemble(n: int, sample_rows: int = 512):
             change = changes(t.column(0)) | changes(t.column(1))
             start = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
             own = t.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            vec = t.column(6).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32)
+            vec = V.matrix(t.column(6), "float32")
             full = np.concatenate([vec, t.column(5).to_numpy().astype(np.float32)[:, None]], axis=1)
             at = np.arange(t.num_rows)
             targets = np.flatnonzero(own & (at > start) & (at >= seen))

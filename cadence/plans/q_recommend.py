@@ -50,7 +50,6 @@ class SessionInputs:
         self.played = a.played()
         self.liked = keep(R.session_likes(self.members, self.likes, self.catalog, self.playlist), "liked")
         self.disliked = R.session_dislikes(self.members, self.dislikes)
-        self.excluded = keep(R.exclusions(self.liked, self.disliked, self.played), "excluded")
         self.session_scores = keep(R.normalized_session_scores(
             P.track_scores(P.with_feedback_weight(a.votes()))), "session-scores")
 
@@ -61,7 +60,17 @@ class SessionInputs:
         return self.keep(R.with_fallback_vector(self.members, R.group_vectors(self.user_vectors()), self.catalog), "group-vectors")
 
     def cbf(self, k: int = R.TOP_N) -> DataFrame:
-        return self.keep(R.cbf_scores(self.group_vectors(), self.excluded, self.session_scores, self.songs(), k), "cbf")
+        return self.keep(R.cbf_scores(self.group_vectors(), self.left_out(), self.session_scores, self.songs(), k), "cbf")
+
+    @property
+    def excluded(self) -> DataFrame:
+        """J3 as a set."""
+        return R.exclusions(self.liked, self.disliked, self.played)
+
+    def left_out(self) -> DataFrame:
+        """J3 as it comes, repeats included: the search needs no distinct rows."""
+        cols = ["session_id", "video_id"]
+        return self.liked.select(cols).unionByName(self.disliked.select(cols)).unionByName(self.played.select(cols))
 
     def songs(self) -> MetricIndex:
         """The index of the catalog, built once per cycle."""
