@@ -1,10 +1,12 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows of ``n`` consecutive normalised benchmark words go into a hash table that every task
-holds (a constant: an array of buckets); each document's windows are looked up
-in it, hits are verified word by word, and hit words or documents can be removed. No shuffle.
-The table is used only while the benchmark has at most ``max_table_windows`` windows; beyond
-that, the documents' windows are joined with the benchmark's by a normal (shuffled) join.
+Windows of ``n`` consecutive normalised benchmark words go into a hash set that every task
+holds; each document's windows are looked up in it, hits are verified word by word, and hit words or
+documents can be removed. Up to ``max_table_windows`` windows the set is a constant table with the
+words themselves, and nothing is shuffled. A larger benchmark is a bitmap of window hashes of at most
+``MAX_BITMAP_BYTES``: the documents' windows are tested against it in place, and only those that pass
+(the hits, and about one in thousands of the others) are joined with the benchmark's windows for
+verification. The documents' other windows and the texts without any are never moved.
 
 Words: A-Z lower-cased, then maximal runs of digits, a-z and non-ASCII characters. An item with
 fewer than ``n`` words, but not none, is one window of its whole length.
@@ -20,10 +22,12 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadence.llm.common import materialise, packed, text_key
+from cadence.llm.common import materialise, packed
 
 N = 10
 MAX_TABLE_WINDOWS = 20_000      # a few MB in the plan and in each executor
+BITS_PER_WINDOW = 64            # two bits are set for a window: about 0.1 % of other windows pass
+MAX_BITMAP_BYTES = 1 << 26      # beyond 8 million windows more of the others pass; results stay the same
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -91,24 +95,56 @@ def _hits_by_table(docs: DataFrame, windows: DataFrame, n_windows: int, lengths:
 
     # a one-element outer array, so that the constant stands in the plan only once
     hits = F.transform(F.array(tab), lambda t: F.concat(*[lookup(t, k) for k in lengths]))
-    return docs.select("row", "tok", F.get(hits, F.lit(0)).alias("hits"))
-
-
-def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same by a join on the windows' words, for benchmarks of any size. Documents meet
-    their hits again by a content key; the join is a plain equi-join that AQE can split."""
-    keyed = docs.withColumn("k", F.xxhash64("tok")).withColumn("k2", F.hash("tok"))
-    parts = []
-    for k in lengths:
-        w = keyed.select("k", "k2", "tok", F.explode(starts(F.col("tok"), k)).alias("pos"))
-        parts.append(w.select("k", "k2", "pos", F.lit(k).alias("len"), window_text(F.col("tok"), F.col("pos"), k).alias("gram")))
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionByName(p)
-    hit = (grams.join(windows, ["gram", "len"]).groupBy("k", "k2")
-                .agg(F.collect_set(F.struct("pos", "len", "items")).alias("hits")))
+    return docs.select("row", F.size("tok").cast("long").alias("n_words"), F.get(hits, F.lit(0)).alias("hits"))
+
+
+def _bitmap(windows: DataFrame, log_bits: int) -> Column:
+    """A bitmap of ``2 ** log_bits`` bits as an array of 64-bit words, one value (a scalar subquery)."""
+    bits = windows.select(F.explode(F.array(*_places(F.xxhash64(F.split("gram", " ")), log_bits))).alias("b"))
+    words = bits.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("w"))
+    # 64 words are one row, so that few rows become the array
+    rows = words.groupBy(F.shiftright("i", 6).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i").bitwiseAND(F.lit(63))).cast("int"), "w"))).alias("m"))
+    every = windows.sparkSession.range(1 << (log_bits - 12)).select(F.col("id").alias("r")).join(rows, "r", "left")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0).cast("long")))
+    lines = every.select("r", dense.alias("line")).agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("a"))
+    return lines.select(F.flatten(F.transform("a", lambda x: x["line"]))).scalar()
+
+
+def _places(h: Column, log_bits: int) -> list[Column]:
+    """The two bits of a window's hash."""
+    mask = F.lit((1 << log_bits) - 1)
+    return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - log_bits).bitwiseAND(mask)]
+
+
+def _hits_by_bitmap(docs: DataFrame, windows: DataFrame, n_windows: int, lengths: list[int]) -> DataFrame:
+    """The same for benchmarks of any size."""
+    log_bits = max(12, min((MAX_BITMAP_BYTES * 8).bit_length() - 1, (BITS_PER_WINDOW * n_windows).bit_length()))
+    # one value for all tasks; the optimiser puts it where the column is used
+    docs = docs.withColumn("bitmap", _bitmap(windows, log_bits))
+    tok = F.col("tok")
+
+    def passing(words_of, k):
+        def there(i):
+            h = F.xxhash64(F.slice(tok, i + 1, k))
+            # an array of one, so that the hash is computed once for both bits
+            return F.exists(F.array(h), lambda x: _set(words_of, _places(x, log_bits)))
+        return F.transform(F.filter(starts(tok, k), there),
+                           lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), window_text(tok, i, k).alias("gram")))
+
+    found = F.transform(F.array("bitmap"), lambda w: F.concat(*[passing(w, k) for k in lengths]))
+    base = docs.select("row", F.size("tok").cast("long").alias("n_words"), F.get(found, F.lit(0)).alias("may"))
+    base = materialise(base.withColumn("rid", F.monotonically_increasing_id()), "possible-hits")
+    may = base.where(F.size("may") > 0)
+    pairs = may.select("rid", F.explode("may").alias("m")).select("rid", "m.*").join(windows, ["gram", "len"])
+    hits = pairs.groupBy("rid").agg(F.collect_set(F.struct("pos", "len", "items")).alias("hits"))
     empty = F.array().cast("array<struct<pos:int,len:int,items:array<string>>>")
-    return keyed.join(hit, ["k", "k2"], "left").select("row", "tok", F.coalesce("hits", empty).alias("hits"))
+    none = base.where(F.size("may") == 0).select("row", "n_words", empty.alias("hits"))
+    return none.unionByName(may.join(hits, "rid", "left").select("row", "n_words", F.coalesce("hits", empty).alias("hits")))
+
+
+def _set(words_of: Column, places: list[Column]) -> Column:
+    one = lambda b: F.getbit(F.get(words_of, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return one(places[0]) & one(places[1])
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text",
@@ -119,11 +155,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str =
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())    # at most n values
     base = docs.select(packed(docs).alias("row"), words(docs[text_col]).alias("tok"))
     if not n_windows:
-        out = base.withColumn("hits", F.array().cast("array<struct<pos:int,len:int,items:array<string>>>"))
+        out = base.select("row", F.size("tok").cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int,items:array<string>>>").alias("hits"))
     elif n_windows <= max_table_windows:
         out = _hits_by_table(base, windows, n_windows, lengths)
     else:
-        out = _hits_by_join(base, windows, lengths)
+        out = _hits_by_bitmap(base, windows, n_windows, lengths)
 
     def step(a, x):
         end = x["pos"] + x["len"]
@@ -134,7 +170,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str =
     n_hit = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"])
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
     # a generated column: filters on it stay above this point, instead of repeating the search
-    found = F.struct(F.size("tok").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), items.alias("items"))
+    found = F.struct(F.col("n_words"), n_hit.cast("long").alias("n_hit"), items.alias("items"))
     return out.select("row", "hits", F.explode(F.array(found)).alias("f")).select("row", "hits", "f.*")
 
 
