@@ -157,3 +157,14 @@ def test_short_units_and_texts_without_spaces_count(spark):
     got = {r.row.doc_id: r for r in U.dedup_units(frame(spark, rows)).collect()}
     assert got[1].kept_text == rows[0][1] and got[1].n_units == 3
     assert got[2].kept_text == "other text here\n \n" and len(got[2].removed) == 2
+
+
+def test_units_short_in_words_and_characters_can_be_exempt(spark):
+    url = "https://example.org/" + "a" * 60
+    text = f"Page 3\nA heading of many words here\n{url}\n{'漢' * 45}\n漢字\nshort four words here\n"
+    rows = [(i, text + f"body {i} of the text", "s", "en") for i in (1, 2)]
+    got = {r.row.doc_id: r for r in U.dedup_units(frame(spark, rows), short=(5, 40)).collect()}
+    # too long in words, or in characters, to be exempt
+    assert got[2].kept_text == "Page 3\n漢字\nshort four words here\nbody 2 of the text" and got[2].n_units == 4
+    exact = {r.row.doc_id: r for r in U.dedup_units(frame(spark, rows)).collect()}
+    assert exact[2].kept_text == "body 2 of the text" and exact[1].kept_text == rows[0][1]
