@@ -37,9 +37,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """L2-normalise; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: v / n)).otherwise(a)
+    """L2-normalise; a zero vector stays zero. Arrays of one bind the vector and its norm, so that
+    neither is worked out anew for every element."""
+    def scale(x):
+        return F.get(F.transform(F.array(norm(x)), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)), F.lit(0))
+
+    return F.get(F.transform(F.array(a), scale), F.lit(0))
 
 
 def vector_mean(c: Column | str, weight: Column | str | None = None) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions import scalars as S
-from cadence.functions import vectors as V
 from cadence.operators import sinks
 from cadence.operators.sessions import catalog_rows
 from cadence.session import materialise
@@ -36,9 +35,12 @@ def hashed_text(songs: DataFrame, key: str = "video_id", text: str = "sentence",
     words has the zero vector. Words are counted per dimension before they become arrays."""
     words = songs.select(key, F.explode_outer(F.filter(F.split(F.col(text), " "), lambda w: w != "")).alias("w"))
     cells = words.groupBy(key, token_dim(F.col("w"), dims).alias("d")).agg(F.sum(token_sign(F.col("w"))).alias("x"))
-    by_dim = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "x")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
-    return by_dim.select(key, V.unit(dense).alias("text_vector"))
+    by_dim = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "x")))).alias("m"),
+                                    F.sqrt(F.sum(F.when(F.col("d").isNotNull(), F.col("x") * F.col("x")))).alias("n"))
+    length = F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)
+    # bound once: the array is long and what reads it takes it apart
+    dense = F.transform(F.array(length), lambda n: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)) / n))
+    return by_dim.select(key, F.get(dense, F.lit(0)).alias("text_vector"))
 
 
 def scaled(df: DataFrame, column: str) -> Column:
@@ -57,7 +59,8 @@ def song_vectors(songs: DataFrame, encoder: Callable[[DataFrame], DataFrame] = h
     batch = materialise(songs.withColumn("sentence", S.song_sentence("track_title", "artist_name", "genre", "collection_name")), "new-songs")
     text = encoder(batch.select("video_id", "sentence"))
     numbers = F.array(scaled(batch, "duration_sec"), scaled(batch, "popularity_score"))
-    return batch.join(text, "video_id").withColumn("embedding", F.concat("text_vector", numbers)).drop("text_vector", "sentence")
+    out = batch.join(text, "video_id").withColumn("embedding", F.concat("text_vector", numbers)).drop("text_vector", "sentence")
+    return materialise(out, "song-vectors")
 
 
 def new_song_rows(songs: DataFrame, catalog: DataFrame, encoder: Callable[[DataFrame], DataFrame] = hashed_text) -> DataFrame:
