@@ -21,8 +21,13 @@ input, so it is done in three refinements that each see only what the one before
    the strings of larger buckets are dealt out by their names, so no bucket must be held whole.
 
 Equal runs are thinned inside each task before they are moved, so a passage that a third of all
-documents share arrives a few times per task. Names have 128 bits together (anchor and run, or
-anchor and string). Texts are moved deflated. Rows equal in id and text are one document that is
+documents share arrives a few times per task. Texts are moved deflated.
+
+The recursion is in the names: every level reuses the names of the level below, and an anchor's
+bucket is refined in two fixed steps instead of by updated bucket pointers, which would have to be
+moved for every position. Strings count as equal if their names are, 128 bits together (anchor and
+run, or anchor and string): that is exact but for a chance of about n * n / 2**128 with n strings.
+Rows equal in id and text are one document that is
 listed twice: they get the same result. Null ids come last; a null text is empty; an empty table
 gives an empty result; extra columns are not looked at.
 """
@@ -307,7 +312,8 @@ def _open_strings(names: Names):
 
 
 def _compare_bytes(table: pa.Table, names: Names) -> pa.RecordBatch | None:
-    """Settle the strings of whole buckets from their runs' bytes; rows are sorted by (h, rank)."""
+    """Settle the strings of whole buckets: they are named anew from their runs' bytes, and strings of a
+    bucket with one name are equal; rows are sorted by (h, rank)."""
     data, offsets = _texts(table.column("data").combine_chunks())
     data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
     h, lo = table.column("h").to_numpy(), table.column("lo").to_numpy().astype(np.int64)
