@@ -5,6 +5,7 @@ import pytest
 
 from cadence.operators import means as N
 from cadence.operators import nearest as X
+from cadence.operators.sequences import recent_mean_model
 
 
 @pytest.mark.parametrize("options", [{}, {"cell_rows": 40, "chunk_songs": 7}])
@@ -44,3 +45,11 @@ def test_shared_exclusions_are_lists_per_owner(spark, options):
     rows = links.join(owned, "owner").selectExpr("session_id", "video_id", "true as excluded", "0D as bonus")
     key = lambda df: sorted((r.session_id, r["rank"], r.video_id, round(r.total, 9)) for r in df.collect())
     assert key(index.top_items(q, 6, marks, shared=(links, owned), block_sessions=4)) == key(index.top_items(q, 6, marks.union(rows), block_sessions=4))
+
+
+def test_rows_joined_before_count_once(spark):
+    """A catalog with a song twice: the last plays are cut after the join, so a row is not multiplied again."""
+    cat = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "video_id long, embedding array<double>")
+    plays = spark.createDataFrame([(5, 1, 2), (5, 2, 1)], "session_id long, play_order long, video_id long")
+    state = spark.createDataFrame([(5, True)], "session_id long, gru_active boolean")
+    assert [round(x, 9) for x in recent_mean_model(plays, cat, state, 3).first().vector] == [round(2 / 3, 9), round(1 / 3, 9)]
