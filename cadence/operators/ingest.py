@@ -24,9 +24,11 @@ ERR_NONE_STRIP = "'NoneType' object has no attribute 'strip'"
 
 def derive_fields(raw: DataFrame) -> DataFrame:
     """Lenient millis, seconds, lenient counts, engagement ratios."""
+    number = F.col("_millis_number")      # parsed once
     return (raw
-            .withColumn("_millis_err", S.millis_error("trackTimeMillis"))
-            .withColumn("trackTimeMillis", S.lenient_millis("trackTimeMillis"))
+            .withColumn("_millis_number", S.py_float("trackTimeMillis"))
+            .withColumn("_millis_err", S.millis_error("trackTimeMillis", number))
+            .withColumn("trackTimeMillis", S.lenient_millis("trackTimeMillis", number)).drop("_millis_number")
             .withColumn("trackTimeSeconds", S.seconds_from_millis("trackTimeMillis"))
             .withColumn("view_count", S.lenient_int("view_count"))
             .withColumn("like_count", S.lenient_int("like_count"))

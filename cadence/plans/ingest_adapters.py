@@ -17,11 +17,12 @@ from cadence.plans import adapters as A
 def raw_tracks(a: A.Adapters) -> DataFrame:
     t = a.t
     l, p = t.lineitem, t.part
+    # narrow sides first and the part's texts last, so that no wide row goes through another join
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    j = (l.join(p, l.l_partkey == p.p_partkey).join(o, l.l_orderkey == o.o_orderkey)
-         .join(c, "o_custkey").join(n, "c_nationkey"))
+    o = o.join(c.join(n, "c_nationkey"), "o_custkey")
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
     k, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     m11 = F.pmod(k * 7 + ln, 11)
     m13 = F.pmod(k + pk, 13)
