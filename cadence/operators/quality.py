@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import format_pct1, round_to
-from cadence.operators.selection import quantiles
+from cadence.operators.selection import DIRECT_VALUES, quantiles
 from cadence.session import materialise
 
 # Fixed thresholds of the reference.
@@ -118,7 +118,7 @@ def cross_slices(sets: DataFrame, key: str = "session_id") -> DataFrame:
 
 def cross_slice(df: DataFrame, a: str, b: str, key: str = "session_id") -> DataFrame:
     """A4: row-normalised cross table of two slices, long format (key, pair, a_label, b_label, share)."""
-    return cross_slices(slice_sets(df, [a, b], key), key).drop("n")
+    return cross_slices(materialise(slice_sets(df, [a, b], key), "slice-counts"), key).drop("n")
 
 
 def bias_summary(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
@@ -138,13 +138,26 @@ def bias_summary(df: DataFrame, slices, key: str = "session_id") -> DataFrame:
 
 # ---- A6-A8 ---------------------------------------------------------------------------
 
-def column_profile(df: DataFrame, columns, numeric, key: str = "session_id") -> DataFrame:
+def column_profile(df: DataFrame, columns, numeric, key: str = "session_id", direct_rows: int = DIRECT_VALUES) -> DataFrame:
     """A6 long format: (key, column, missing_count, missing_pct, unique_count, mean, std, min,
     max, p25, p75), the statistics of numbers null for text columns. Percentiles are exact linear
     interpolation (pandas ``quantile``).
 
-    One scan: the columns are unpivoted and reduced to distinct values with their numbers, which are
-    written once; everything else follows from those. No group's values are held in one task."""
+    The rows are written once and dealt by key once; a key's columns are unpivoted, reduced to distinct
+    values and summed up where they are. Keys with more than ``direct_rows`` rows are not: their distinct
+    values are written, and no task holds a group of them."""
+    rows = materialise(df.select(key, *columns), "profile-rows")
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > direct_rows)
+    large = materialise(large.select(F.col(key).alias("_large")), "large-keys")
+    on = F.col(key).eqNullSafe(F.col("_large"))
+    if large.isEmpty():
+        return _profile_direct(_profile_cells(rows.repartition(key), columns, numeric, key), key)
+    direct = _profile_cells(rows.join(large, on, "left_anti").repartition(key), columns, numeric, key)
+    return _profile_direct(direct, key).unionByName(_profile_selected(_profile_cells(rows.join(large, on, "left_semi"), columns, numeric, key), key))
+
+
+def _profile_cells(df: DataFrame, columns, numeric, key: str) -> DataFrame:
+    """``(key, column, value, text, missing, n)``: the distinct values of every column."""
 
     def cell(c):
         number = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if c in numeric else F.lit(None).cast("double")
@@ -153,28 +166,48 @@ def column_profile(df: DataFrame, columns, numeric, key: str = "session_id") ->
 
     cells = F.array(*[cell(c) for c in columns])
     cells = df.select(key, F.explode(cells).alias("_c")).select(key, "_c.*")
-    values = materialise(cells.groupBy(key, "column", "value", "text", "missing").agg(F.count(F.lit(1)).alias("n")), "column-values")
+    return cells.groupBy(key, "column", "value", "text", "missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _profile_sums() -> list:
+    return [F.sum("n").alias("_rows"), F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("missing_count"),
+            F.count_if(~F.col("missing")).alias("unique_count"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_n"),
+            F.sum(F.col("value") * F.col("n")).alias("_sum"), F.min("value").alias("min"), F.max("value").alias("max")]
+
+
+def _profile_direct(values: DataFrame, key: str) -> DataFrame:
+    """The statistics of groups whose distinct values fit one list."""
+    v = F.col("value")
+    per = values.groupBy(key, "column").agg(*_profile_sums(), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("_q"),
+                                            F.collect_list(F.when(v.isNotNull(), F.struct("value", "n"))).alias("_v"))
+    per = per.withColumn("mean", F.col("_sum") / F.col("_n"))
+    known = F.col(key).isNotNull()      # rows without a key have no spread and no percentiles
+    squares = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["value"] - F.col("mean"), 2))
+    return _profile_rounded(per.withColumn("_squares", F.when(known, squares)).withColumn("p25", F.when(known, F.col("_q")[0])).withColumn("p75", F.when(known, F.col("_q")[1])), key)
+
+
+def _profile_selected(values: DataFrame, key: str) -> DataFrame:
+    """The statistics of groups of any size, by selection."""
+    values = materialise(values, "column-values")
     on = [key, "column"]
-    there = ~F.col("missing")
-    sums = values.groupBy(*on).agg(
-        F.sum("n").alias("_rows"), F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("missing_count"),
-        F.count_if(there).alias("unique_count"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_n"),
-        F.sum(F.col("value") * F.col("n")).alias("_sum"), F.min("value").alias("min"), F.max("value").alias("max"))
-    sums = sums.withColumn("mean", F.col("_sum") / F.col("_n"))
+    sums = values.groupBy(*on).agg(*_profile_sums()).withColumn("mean", F.col("_sum") / F.col("_n"))
     numbers = values.where("value is not null").select(*on, "value", "n")
     # squares of differences from the mean: sums of squares would lose the digits of large values
     spread = numbers.join(sums.select(*on, "mean"), on).groupBy(*on).agg(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("_squares"))
     at = quantiles(numbers, on, [0.25, 0.75]).select(*on, F.col("quantiles")[0].alias("p25"), F.col("quantiles")[1].alias("p75"))
-    out = sums.join(spread, on, "left").join(at, on, "left")
+    return _profile_rounded(sums.join(spread, on, "left").join(at, on, "left"), key)
+
+
+def _profile_rounded(out: DataFrame, key: str) -> DataFrame:
+    on = [key, "column"]
     std = F.when(F.col("_n") > 1, F.sqrt(F.col("_squares") / (F.col("_n") - 1)))
     return out.select(*on, "missing_count", round_to(F.col("missing_count") / F.col("_rows") * 100, 2).alias("missing_pct"), "unique_count",
                       round_to("mean", 4).alias("mean"), round_to(std, 4).alias("std"), *[round_to(c, 4).alias(c) for c in ("min", "max", "p25", "p75")])
 
 
-def schema_violations(df: DataFrame, key: str = "session_id", schema: dict | None = None) -> DataFrame:
-    """(key, column, issue, count) for missing columns, unexpected nulls, below min, above max;
-    ranges only of columns of a number type."""
-    schema = schema or EXPECTED_SCHEMA
+def _violation_counts(df: DataFrame, schema: dict) -> tuple[list, list]:
+    """The aggregates that count each kind of violation, and (column, issue, aggregate's name) of each;
+    no name for a missing column, which is one violation."""
     types = dict(df.dtypes)
     aggs, specs = [], []
     for c, (nullable, numeric, lo, hi) in schema.items():
@@ -192,6 +225,13 @@ def schema_violations(df: DataFrame, key: str = "session_id", schema: dict | Non
         if numeric and hi is not None:
             specs.append((c, f"above_max_{hi}", f"_hi_{c}"))
             aggs.append(F.count_if(F.col(c) > F.lit(hi)).alias(f"_hi_{c}"))
+    return aggs, specs
+
+
+def schema_violations(df: DataFrame, key: str = "session_id", schema: dict | None = None) -> DataFrame:
+    """(key, column, issue, count) for missing columns, unexpected nulls, below min, above max;
+    ranges only of columns of a number type."""
+    aggs, specs = _violation_counts(df, schema or EXPECTED_SCHEMA)
     counts = df.groupBy(key).agg(*aggs) if aggs else df.select(key).distinct()
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(issue).alias("issue"),
                               (F.col(a) if a else F.lit(1).cast("long")).alias("count"))
@@ -201,10 +241,13 @@ def schema_violations(df: DataFrame, key: str = "session_id", schema: dict | Non
 
 
 def validation_report(df: DataFrame, key: str = "session_id") -> DataFrame:
-    """(key, row_count, column_count, violation_count, schema_valid)."""
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
-    v = schema_violations(df, key).groupBy(key).agg(F.count(F.lit(1)).alias("violation_count"))
-    return (n.join(v, key, "left").withColumn("violation_count", F.coalesce("violation_count", F.lit(0).cast("long")))
+    """(key, row_count, column_count, violation_count, schema_valid), from one look at the rows.
+    Violations of rows without a key belong to no session and are not counted."""
+    aggs, specs = _violation_counts(df, EXPECTED_SCHEMA)
+    found = [F.lit(1) if a is None else (F.col(a) > 0).cast("int") for _, _, a in specs]
+    total = F.aggregate(F.array(*found), F.lit(0).cast("long"), lambda n, x: n + x)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"), *aggs)
+    return (counts.select(key, "row_count", F.when(F.col(key).isNull(), F.lit(0).cast("long")).otherwise(total).alias("violation_count"))
             .withColumn("column_count", F.lit(len([c for c in df.columns if c != key])))
             .withColumn("schema_valid", F.col("violation_count") == 0))
 
@@ -346,9 +389,9 @@ def mitigate(df: DataFrame, columns, key: str = "session_id", row_id: str = "row
     for c in columns:
         if c not in out.columns:
             continue
-        out = downsample(upsample(out, c, key, row_id, seed), c, key, row_id, seed)
-        if cut_lineage is not None:
-            out = cut_lineage(out)
+        # both steps read their rows several times
+        keep = cut_lineage or (lambda x: x)
+        out = keep(downsample(keep(upsample(out, c, key, row_id, seed)), c, key, row_id, seed))
     return out
 
 

@@ -10,6 +10,7 @@ from cadence.plans.adapters import with_ctes
 from cadence.plans.q_ingest import validated
 from cadence.plans.q_recommend import r4, s4
 from cadence.plans.registry import register
+from cadence.session import materialise
 
 SLICES = ["genre", "country"]
 VALID = [("valid", "SELECT * FROM derived WHERE error IS NULL")]
@@ -177,12 +178,17 @@ GENRE_COUNTS = VALID + [("gc", """
                sum(count(*)) OVER (PARTITION BY session_id) AS n FROM valid GROUP BY 1, 2""")]
 
 
+def rebalanced(spark, sf_dir, slices=("genre",)):
+    """The valid rows as re-balancing needs them, written once: every step reads them several times."""
+    return materialise(valid(spark, sf_dir).select("session_id", "row_id", *slices), "valid")
+
+
 @register("m1_upsample_counts", with_ctes(["derived"], GENRE_COUNTS, """
     SELECT session_id, label, CAST(CASE WHEN c / n < 0.05::DOUBLE
              THEN c + greatest(ceil((0.05::DOUBLE * n - c) / (1.0::DOUBLE - 0.05::DOUBLE)), 0) ELSE c END AS BIGINT)
            AS rows_after FROM gc"""))
 def m1_upsample_counts(spark, sf_dir):
-    up = Q.upsample(valid(spark, sf_dir), "genre")
+    up = Q.upsample(rebalanced(spark, sf_dir), "genre")
     return (up.groupBy("session_id", F.coalesce("genre", F.lit("Unknown")).alias("label"))
             .agg(F.count(F.lit(1)).alias("rows_after")))
 
@@ -193,7 +199,7 @@ def m1_upsample_counts(spark, sf_dir):
              THEN CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT)
              ELSE CAST(c AS BIGINT) END AS rows_after FROM gc"""))
 def m2_downsample_counts(spark, sf_dir):
-    down = Q.downsample(valid(spark, sf_dir), "genre")
+    down = Q.downsample(rebalanced(spark, sf_dir), "genre")
     return (down.groupBy("session_id", F.coalesce("genre", F.lit("Unknown")).alias("label"))
             .agg(F.count(F.lit(1)).alias("rows_after")))
 
@@ -231,7 +237,7 @@ M_SQL = VALID + _step_sql("valid", "genre", "m_genre") + _step_sql("m_genre", "c
 @register("m1_upsample_rows", with_ctes(["derived"], M_SQL[:len(VALID) + 2], """
     SELECT session_id, row_id, count(*) AS copies FROM m_genre_up GROUP BY ALL"""))
 def m1_upsample_rows(spark, sf_dir):
-    return Q.upsample(valid(spark, sf_dir), "genre").groupBy("session_id", "row_id").agg(F.count(F.lit(1)).alias("copies"))
+    return Q.upsample(rebalanced(spark, sf_dir), "genre").groupBy("session_id", "row_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @register("m2_downsample_rows", with_ctes(["derived"], VALID + [("c", """
@@ -242,7 +248,7 @@ def m1_upsample_rows(spark, sf_dir):
     WHERE NOT (c / n > 0.6::DOUBLE AND CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT) > 0)
        OR rk <= CAST(trunc((n - c) * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE)) AS BIGINT)"""))
 def m2_downsample_rows(spark, sf_dir):
-    return Q.downsample(valid(spark, sf_dir), "genre").select("session_id", "row_id")
+    return Q.downsample(rebalanced(spark, sf_dir), "genre").select("session_id", "row_id")
 
 
 def _share_sql(src: str) -> str:
@@ -261,7 +267,6 @@ def _share_sql(src: str) -> str:
     FROM b FULL OUTER JOIN a ON b.session_id = a.session_id AND b.slice = a.slice AND b.label = a.label"""))
 def m3_mitigate_then_report(spark, sf_dir):
     """M3 + A10: genre then country re-balancing, then before/after shares."""
-    from cadence.session import cut_lineage, materialise
-    v = materialise(valid(spark, sf_dir).select("session_id", "row_id", *SLICES), "valid")
-    after = Q.mitigate(v, SLICES, cut_lineage=cut_lineage)
+    v = rebalanced(spark, sf_dir, SLICES)
+    after = Q.mitigate(v, SLICES, cut_lineage=lambda df: materialise(df, "mitigated"))
     return Q.mitigation_report(v, after, SLICES)
