@@ -57,10 +57,12 @@ def latest_cycles(snapshots: DataFrame, n: int = 1) -> DataFrame:
 def diversity_trend(snapshots: DataFrame) -> DataFrame:
     """Per cycle the genre entropy (log2, 4 dp) and the song count; a null genre is 'Unknown'."""
     g = snapshots.groupBy("session_id", "ts_ms", F.coalesce("genre", F.lit("Unknown")).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    total = g.groupBy("session_id", "ts_ms").agg(F.sum("n").alias("song_count"))
-    p = F.col("n") / F.col("song_count")
-    return (g.join(total, ["session_id", "ts_ms"]).groupBy("session_id", "ts_ms", "song_count")
-            .agg(round_to(F.sum(-p * F.log2(p)), 4).alias("entropy")).select("session_id", "ts_ms", "entropy", "song_count"))
+    # a cycle's genres are few: their counts are one short list, and nothing is joined back
+    cycles = (g.where("session_id is not null and ts_ms is not null").groupBy("session_id", "ts_ms")
+              .agg(F.sum("n").alias("song_count"), F.sort_array(F.collect_list("n")).alias("_n")))
+    share = lambda n: n / F.col("song_count")
+    entropy = F.aggregate("_n", F.lit(0.0), lambda a, n: a - share(n) * F.log2(share(n)))
+    return cycles.select("session_id", "ts_ms", round_to(entropy, 4).alias("entropy"), "song_count")
 
 
 def session_state(sessions: DataFrame, plays: DataFrame, feedback: DataFrame, snapshots: DataFrame) -> DataFrame:
