@@ -30,6 +30,7 @@ SESSION_PLAYLIST_USER = "_session_playlist"
 # Distinct likes of a user that meet in one join group, on average: every user's likes are dealt
 # into chunks of this size, so the pairs of a user with many likes spread over many groups.
 USER_CHUNK_ITEMS = 500
+HOT_LINKS = 1_000          # members of a session whose songs may be unpacked in one task
 
 
 # --------------------------------------------------------------------------------------
@@ -119,6 +120,31 @@ def exclusions(liked: DataFrame, disliked: DataFrame, played: DataFrame) -> Data
     return liked.select(cols).unionByName(disliked.select(cols)).unionByName(played.select(cols)).distinct()
 
 
+def listed_exclusions(links: DataFrame, owned: DataFrame, own: DataFrame, hot_links: int = HOT_LINKS) -> DataFrame:
+    """U3 / J3 as ``exclusions``, distinct ``(session_id, video_id)``: the songs that a session has of its
+    ``own(session_id, video_id)`` and of its members, ``links(session_id, owner)`` and ``owned(owner, video_id)``.
+
+    A member's songs travel to the session as one list and are unpacked there. Sessions with more than
+    ``hot_links`` members are joined row by row, so that none of them is whole in one task."""
+    links = links.select("session_id", "owner").distinct()
+    owned = owned.select("owner", "video_id").distinct()
+    hot = materialise(links.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_links).select(F.col("session_id").alias("_s")), "hot-sessions")
+    v = F.col("video_id")
+    none = F.array(F.lit(None).cast(owned.schema["video_id"].dataType))
+    songs = F.when(F.count_if(v.isNull()) > 0, F.concat(F.collect_list(v), none)).otherwise(F.collect_list(v))
+    lists = owned.groupBy("owner").agg(songs.alias("songs"))
+    on = F.col("session_id").eqNullSafe(F.col("_s"))
+    some = not hot.isEmpty()
+    few, few_own = (x.join(hot, on, "left_anti") if some else x for x in (links, own))
+    theirs = few.join(lists, "owner").select("session_id", "songs").unionByName(few_own.select("session_id", F.array("video_id").alias("songs")))
+    out = theirs.repartition("session_id").select("session_id", F.explode("songs").alias("video_id")).distinct()
+    if some:
+        many, many_own = (x.join(hot, on, "left_semi") for x in (links, own))
+        rows = many.join(owned, "owner").select("session_id", "video_id").unionByName(many_own.select("session_id", "video_id"))
+        out = out.unionByName(rows.distinct())
+    return out
+
+
 # --------------------------------------------------------------------------------------
 # Preference vectors
 # --------------------------------------------------------------------------------------

@@ -71,8 +71,10 @@ class SessionInputs:
 
     @property
     def excluded(self) -> DataFrame:
-        """J3 as a set."""
-        return R.exclusions(self.liked, self.disliked, self.played)
+        """J3 as a set: likes count where the catalog holds the song, dislikes and plays always."""
+        links, likes = self.shared()[0], R.in_catalog(self.likes, self.catalog)
+        cols = [F.col("user_id").alias("owner"), "video_id"]
+        return R.listed_exclusions(links, likes.select(cols).unionByName(self.dislikes.select(cols)), self.left_out())
 
     def left_out(self) -> DataFrame:
         """J3's songs of the session itself, repeats included: the search needs no distinct rows."""
