@@ -18,6 +18,8 @@ from cadence.session import materialise
 MAX_SEQ_LEN = 15  # fixed value of the reference's sequence model
 SUB_SESSION_SONGS = 10  # fixed value of the reference's player
 SEQUENCE_CHUNK = 1000  # plays of one array
+BUCKET_CONTEXTS = 100  # a bucket of plays is this many times as long as a sample's context
+BLOCK_PLAYS = 100_000  # plays of a block, on average: no more vectors are held at once
 
 
 def known_plays(plays: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -106,23 +108,74 @@ def usable_plays(plays: DataFrame, catalog: DataFrame, unknown: str) -> DataFram
     return out.select("session_id", "play_order", "video_id", "liked_flag")
 
 
-def prefix_tensors(plays: DataFrame, catalog: DataFrame, unknown: str = "stop", n: int = MAX_SEQ_LEN) -> DataFrame:
+def prefix_tensors(plays: DataFrame, catalog: DataFrame, unknown: str = "stop", n: int = MAX_SEQ_LEN, derive=None, block_plays: int = BLOCK_PLAYS) -> DataFrame:
     """W6 whole: one sample per usable play i >= 2. ``input`` is the matrix of the ``n`` plays before
     i, row by row (oldest first), each row embedding ++ [liked flag], with zero rows on the left where
     there are fewer; ``target`` is the embedding of play i. (session_id, play_order, target_video_id,
     rows, width, input array<float>, target array<float>); ``rows`` of the ``n`` rows are plays.
 
-    Plays go to their bucket of ``n`` numbers and to the next one, as in ``prefix_samples``; a sorted
-    partition is then assembled as Arrow arrays. A sample never leaves its bucket, so a session with a
-    third of all plays spreads over tasks, and a batch holds a bounded number of samples."""
+    Plays go to their bucket of numbers, the last ``n`` of a bucket also to the next one. They travel as
+    ids: a block of buckets gets the vectors of its songs, each once, and its sorted rows are
+    assembled as Arrow arrays. A sample never leaves its bucket, so a session with a third of all plays
+    spreads over tasks, and a batch holds a bounded number of samples. ``derive``: ``(function, schema)``,
+    what is made of a record batch of samples in the task that assembled it."""
     emb = V.packed(catalog.select("video_id", F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null"), "embedding", "float32")
-    p = usable_plays(plays, catalog, unknown).withColumn("_b", F.expr(f"(play_order - 1) div {n}"))
-    placed = p.withColumn("bucket", F.explode(F.array(F.col("_b"), F.col("_b") + 1))).withColumn("own", F.col("bucket") == F.col("_b"))
-    rows = placed.join(emb, "video_id").select("session_id", "bucket", "play_order", "own", "video_id", F.col("liked_flag").cast("float").alias("liked"), "embedding")
-    parts = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "session_id", "bucket").sortWithinPartitions("session_id", "bucket", "play_order")
+    size = n * BUCKET_CONTEXTS
+    p = materialise(usable_plays(plays, catalog, unknown), "usable-plays").withColumn("_b", F.expr(f"(play_order - 1) div {size}"))
+    parts = max(int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // block_plays))
+    late = F.expr(f"(play_order - 1) % {size} >= {size - n}")
+    placed = p.withColumn("bucket", F.explode(F.when(late, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b")))).withColumn("own", F.col("bucket") == F.col("_b"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("session_id", "bucket"), F.lit(parts)))
+    rows = placed.select("block", F.lit(1).alias("late"), "session_id", "bucket", "play_order", "own", "video_id", F.col("liked_flag").cast("float").alias("liked"), F.lit(None).cast("binary").alias("embedding"))
+    none = [F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in ("session_id", "bucket", "play_order", "own")]
+    songs = placed.select("block", "video_id").distinct().join(emb, "video_id").select("block", F.lit(0).alias("late"), *none, "video_id", F.lit(None).cast("float").alias("liked"), "embedding")
+    dealt = rows.unionByName(songs).repartition(parts, "block").sortWithinPartitions("block", "late", "session_id", "bucket", "play_order")
     s, v = (dict(rows.dtypes)[c] for c in ("session_id", "video_id"))
-    return dealt.mapInArrow(_assemble(n), f"session_id {s}, play_order long, target_video_id {v}, rows int, width int, input array<float>, target array<float>")
+    assemble = _assemble(n)
+    if derive is None:
+        return dealt.mapInArrow(lambda batches: assemble(_with_vectors(batches)), f"session_id {s}, play_order long, target_video_id {v}, rows int, width int, input array<float>, target array<float>")
+    function, schema = derive
+    return dealt.mapInArrow(lambda batches: map(function, assemble(_with_vectors(batches))), schema)
+
+
+def _with_vectors(batches):
+    """The plays of sorted blocks with the vectors of their songs, which come first in each block; a song
+    that has several vectors makes a row of each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    block = names = None
+    ids, vectors = [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks, late = batch.column("block").to_numpy(), batch.column("late").to_numpy()
+        edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (late[1:] != late[:-1])) + 1
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+            if blocks[lo] != block:
+                block, names, ids, vectors = blocks[lo], None, [], []
+            b = batch.slice(lo, hi - lo)
+            if not late[lo]:
+                ids.append(b.column("video_id"))
+                vectors.append(b.column("embedding"))
+                continue
+            if not ids:
+                continue
+            if names is None:
+                every, vec = pa.concat_arrays(ids), pa.concat_arrays(vectors)
+                names = every.unique()
+                of = pc.index_in(every, value_set=names).to_numpy()
+                count = np.bincount(of, minlength=len(names))
+                order, first = np.argsort(of, kind="stable"), np.cumsum(count) - count
+            place = pc.index_in(b.column("video_id"), value_set=names)
+            row = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+            at = place.drop_null().to_numpy()
+            again = np.arange(count[at].sum()) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+            song = order[np.repeat(first[at], count[at]) + again]
+            row = pa.array(np.repeat(row, count[at]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in ("session_id", "bucket", "play_order", "own", "video_id", "liked")], vec.take(pa.array(song))],
+                                             ["session_id", "bucket", "play_order", "own", "video_id", "liked", "embedding"])
 
 
 def _assemble(n: int, sample_rows: int = 512):
@@ -139,6 +192,9 @@ def _assemble(n: int, sample_rows: int = 512):
             seen = 0 if tail is None else tail.num_rows
             change = changes(t.column(0)) | changes(t.column(1))
             start = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
+            # plays without a vector leave gaps: the context are plays of the numbers' own n and the n before
+            tens = (np.cumsum(change) << 40) + (t.column(2).to_numpy() - 1) // n
+            start = np.maximum(start, np.searchsorted(tens, tens - 1))
             own = t.column(3).to_numpy(zero_copy_only=False).astype(bool)
             vec = V.matrix(t.column(6), "float32")
             full = np.concatenate([vec, t.column(5).to_numpy().astype(np.float32)[:, None]], axis=1)

@@ -59,13 +59,26 @@ def _tensor_sql(usable: str) -> str:
     FROM usable p JOIN usable c ON c.session_id = p.session_id AND c.play_order BETWEEN p.play_order - 15 AND p.play_order - 1 GROUP BY 1, 2, 3""")
 
 
+def _tensor_checks(samples):
+    """The checks of a record batch of samples, in the task that made them."""
+    import numpy as np
+    import pyarrow as pa
+
+    width = samples.column("width")[0].as_py()
+    whole = lambda c: samples.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(samples.num_rows, -1)
+    x, target = whole("input").reshape(samples.num_rows, -1, width), whole("target")
+    x = (x @ np.arange(1.0, width + 1)) @ np.arange(1.0, x.shape[1] + 1)
+    checks = [pa.array(x), pa.array(target @ np.arange(1.0, target.shape[1] + 1))]
+    keys = ["session_id", "play_order", "target_video_id", "rows"]
+    return pa.RecordBatch.from_arrays([*[samples.column(c) for c in keys], *checks], [*keys, "input_check", "target_check"])
+
+
 def _tensor_query(spark, sf_dir, unknown: str):
     a = Adapters(spark, sf_dir)
-    t = Q.prefix_tensors(mixed_plays(a), a.catalog(), unknown)
-    weigh = lambda x, i: x.cast("double") * (i % F.col("width") + 1) * ((i / F.col("width")).cast("int") + 1)
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    return t.select("session_id", "play_order", "target_video_id", "rows", r4(total(F.transform("input", weigh))).alias("input_check"),
-                    r4(total(F.transform("target", lambda x, i: x.cast("double") * (i + 1)))).alias("target_check"))
+    plays = mixed_plays(a)
+    s, v = (dict(plays.dtypes)[c] for c in ("session_id", "video_id"))
+    t = Q.prefix_tensors(plays, a.catalog(), unknown, derive=(_tensor_checks, f"session_id {s}, play_order long, target_video_id {v}, rows int, input_check double, target_check double"))
+    return t.select("session_id", "play_order", "target_video_id", "rows", r4(F.col("input_check")).alias("input_check"), r4(F.col("target_check")).alias("target_check"))
 
 
 @register("w6_prefix_tensors", _tensor_sql("""
