@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import round_to
+from cadence.session import dealt
 
 # Fixed values of the reference.
 COMPLETED = ("ended", "done")
@@ -44,14 +45,15 @@ def with_song_metadata(events: DataFrame, recommendations: DataFrame) -> DataFra
     return out.select(*events.columns, *[F.coalesce(F.col(f"_{c}"), F.lit("")).alias(c) for c in cols])
 
 
-def latest_cycles(snapshots: DataFrame, n: int = 1) -> DataFrame:
-    """The rows of each session's last ``n`` cycles (1 to 20), newest first in ``cycle``."""
+def latest_cycles(snapshots: DataFrame, n: int = 1, rows: int = 0) -> DataFrame:
+    """The rows of each session's last ``n`` cycles (1 to 20), newest first in ``cycle``. ``rows``: about
+    how many snapshots there are, if known; many are dealt to as many tasks."""
     if not 1 <= n <= 20:
         raise ValueError("n must be 1 to 20")
     cycles = snapshots.select("session_id", "ts_ms").distinct()
     w = Window.partitionBy("session_id").orderBy(F.desc("ts_ms"))
     last = cycles.withColumn("cycle", F.row_number().over(w)).where(F.col("cycle") <= n)
-    return snapshots.join(last, ["session_id", "ts_ms"])
+    return dealt(snapshots, rows, "session_id", "ts_ms").join(last, ["session_id", "ts_ms"])
 
 
 def diversity_trend(snapshots: DataFrame) -> DataFrame:

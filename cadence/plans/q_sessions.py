@@ -13,6 +13,7 @@ from cadence.operators import sessions as S
 from cadence.operators import sinks
 from cadence.plans.adapters import Adapters, with_ctes
 from cadence.plans.registry import register
+from cadence.session import dealt
 
 SNAP = [
     ("snap", """
@@ -32,7 +33,7 @@ QUEUE = SNAP + [
 
 
 def snapshots(a: Adapters):
-    l = a.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    l = dealt(a.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), a.t.lineitem.count(), "l_orderkey")
     o = a.t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     phase = F.when(F.col("o_orderstatus") == "F", "full_hybrid").when(F.col("o_orderstatus") == "O", "gru_growing").otherwise("cold_start")
     rows = l.join(o, "l_orderkey").withColumn("video_id", a.song("l_partkey")).join(a.catalog().select("video_id", "genre"), "video_id")
@@ -47,7 +48,7 @@ def queue(a: Adapters):
     order = cycles.select("session_id", "ts_ms").distinct()
     from pyspark.sql import Window
     order = order.withColumn("cycle", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts_ms"))))
-    sc = cycles.join(order, ["session_id", "ts_ms"])
+    sc = dealt(cycles, a.t.lineitem.count(), "session_id", "ts_ms").join(order, ["session_id", "ts_ms"])
     keys = ["session_id", "video_id"]
     return (sc.where("cycle = 1").select(keys).distinct(),
             sc.where("cycle = 2").groupBy(keys).agg(F.max("final_score").alias("score")),
@@ -57,7 +58,8 @@ def queue(a: Adapters):
 @register("w3_latest_cycles", with_ctes(["ncat", "catalog"], SNAP, """
     SELECT session_id, ts_ms, cycle, rank, video_id, phase FROM sc WHERE cycle <= 2"""))
 def w3_latest_cycles(spark, sf_dir):
-    return S.latest_cycles(snapshots(Adapters(spark, sf_dir)), 2).select(
+    a = Adapters(spark, sf_dir)
+    return S.latest_cycles(snapshots(a), 2, a.t.lineitem.count()).select(
         "session_id", "ts_ms", F.col("cycle").cast("long").alias("cycle"), "rank", "video_id", "phase")
 
 
@@ -133,10 +135,11 @@ def f9_f10_session_status(spark, sf_dir):
       ON m.session_id = v.session_id AND m.video_id = v.video_id GROUP BY ALL"""))
 def j7_event_metadata(spark, sf_dir):
     a = Adapters(spark, sf_dir)
-    now = S.latest_cycles(snapshots(a), 1).where(F.col("genre").isNotNull()).select(
+    rows, song = a.t.lineitem.count(), ("session_id", "video_id")
+    now = S.latest_cycles(snapshots(a), 1, rows).where(F.col("genre").isNotNull()).select(
         "session_id", "video_id", "genre", F.concat(F.lit("song "), F.col("video_id").cast("string")).alias("track_title"),
         F.lit("").alias("artist_name"))
-    out = S.with_song_metadata(a.votes(), now)
+    out = S.with_song_metadata(dealt(a.votes(), rows, *song), dealt(now, rows, *song))
     return out.groupBy("session_id", "video_id", "action", "genre", "track_title").agg(F.count(F.lit(1)).alias("n"))
 
 
