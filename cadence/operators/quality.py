@@ -314,19 +314,19 @@ def _row_hash(row_id: str, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
 
 
-def _with_smallest(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+def _with_smallest(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Add ``_in``: is the row among the ``_t`` smallest by (_h, row_id) of its group?
 
-    ``targets``: (keys, _t). Exact without sorting a large group in one task: a histogram over the
+    Every row has its group's ``_t``. Exact without sorting a large group in one task: a histogram over the
     first 16 bits of the hash finds the bucket that holds the boundary; only it is ranked."""
     rows = rows.withColumn("_b", F.substring("_h", 1, 4))
-    hist = (rows.join(targets, keys, "left_semi").groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb")))
+    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb"), F.max("_t").alias("_most"))
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (hist.withColumn("_cum", F.sum("_nb").over(run)).join(targets, keys)
-           .where(F.col("_cum") >= F.col("_t"))
-           .groupBy(*keys).agg(F.min_by(F.struct("_b", (F.col("_t") - F.col("_cum") + F.col("_nb")).alias("_r")), "_b").alias("_x"))
+    cut = (hist.withColumn("_cum", F.sum("_nb").over(run))
+           .where(F.col("_cum") >= F.col("_most"))
+           .groupBy(*keys).agg(F.min_by(F.struct("_b", (F.col("_most") - F.col("_cum") + F.col("_nb")).alias("_r")), "_b").alias("_x"))
            .select(*keys, F.col("_x._b").alias("_cb"), F.col("_x._r").alias("_rem")))
-    tagged = rows.join(targets.join(cut, keys, "left"), keys)
+    tagged = rows.join(cut, keys, "left")
     on_cut = F.coalesce(F.col("_b") == F.col("_cb"), F.lit(False))
     clear = tagged.where(~on_cut).withColumn("_in", F.coalesce(F.col("_b") < F.col("_cb"), F.lit(False)) & (F.col("_t") > 0))
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_h", row_id)
@@ -356,8 +356,9 @@ def upsample(df: DataFrame, col: str, key: str = "session_id", row_id: str = "ro
     small = (c.where(F.col("_c") / F.col("_N") < UPSAMPLE_SHARE).withColumn("_need", need.cast("long"))
              .where(F.col("_need") > 0)
              .select(key, "_label", F.expr("_need div _c").alias("_each"), (F.col("_need") % F.col("_c")).alias("_t")))
-    rows = lab.withColumn("_h", _row_hash(row_id, seed)).join(small.select(key, "_label"), [key, "_label"], "left_semi")
-    dealt = _with_smallest(rows, small, [key, "_label"], row_id)
+    # few rows: read several times, so written, and hashed after they are found
+    rows = materialise(lab.join(small, [key, "_label"]), "upsampled").withColumn("_h", _row_hash(row_id, seed))
+    dealt = _with_smallest(rows, [key, "_label"], row_id)
     extra = _repeat(dealt.withColumn("_n", F.col("_each") + F.col("_in").cast("long")), "_n")
     return df.unionByName(extra.select(df.columns))
 
@@ -374,8 +375,10 @@ def downsample(df: DataFrame, col: str, key: str = "session_id", row_id: str = "
     if not strict:
         dom = dom.where(F.col("_t") > 0)
     dom = dom.select(key, "_label", "_t")
-    keep_all = lab.join(dom, [key, "_label"], "left_anti")
-    some = _with_smallest(lab.withColumn("_h", _row_hash(row_id, seed)), dom, [key, "_label"], row_id).where("_in")
+    # all rows meet the labels once; those of a dominant label are read several times
+    marked = materialise(lab.join(dom, [key, "_label"], "left"), "downsampled")
+    keep_all = marked.where("_t is null")
+    some = _with_smallest(marked.where("_t is not null").withColumn("_h", _row_hash(row_id, seed)), [key, "_label"], row_id).where("_in")
     return keep_all.select(df.columns).unionByName(some.select(df.columns))
 
 
